@@ -10,20 +10,29 @@ from pyspark.sql import types as T
 
 from tidelake.specs import Field
 
-# The ISO 8601 shapes accepted as a timestamp.
-ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([T ].*)?$"
-ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
+# Fixed value: how a zone at the end of ISO 8601 text looks.
 ISO_ZONE = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
 def iso_timestamp(text: Column) -> Column:
-    """ISO text as a timestamp; text without a zone is UTC whatever the session says."""
+    """ISO text as a timestamp; text without a zone is UTC whatever the session says.
+
+    Only the date separators are checked here, the parser rejects the rest. Without
+    that check a bare year would read as a timestamp.
+    """
+    date_only = F.length(text) == 10
+    shaped = (
+        (F.substring(text, 5, 1) == "-")
+        & (F.substring(text, 8, 1) == "-")
+        & (date_only | F.substring(text, 11, 1).isin("T", " "))
+    )
     zoned = (
-        F.when(text.rlike(ISO_DATE), F.concat(text, F.lit("T00:00:00Z")))
+        F.when(text.endswith("Z"), text)
+        .when(date_only, F.concat(text, F.lit("T00:00:00Z")))
         .when(text.rlike(ISO_ZONE), text)
         .otherwise(F.concat(text, F.lit("Z")))
     )
-    return F.when(text.rlike(ISO_SHAPE), F.try_to_timestamp(zoned))
+    return F.when(shaped, F.try_to_timestamp(zoned))
 
 
 def instant(now: datetime | str | Column) -> Column:
@@ -77,3 +86,15 @@ def lost_in_cast(raw: Column, value: Column, field: Field) -> Column:
         )
         return raw.isNotNull() & (value.isNull() | dropped)
     return raw.isNotNull() & value.isNull()
+
+
+def names_where(flags: list[tuple[str, Column]]) -> Column:
+    """Array of the names whose flag is true.
+
+    Set difference rather than ``array_compact``, which is a lambda underneath and would
+    evaluate every flag outside generated code.
+    """
+    if not flags:
+        return F.array().cast("array<string>")
+    texts = F.array(*[F.when(flag, F.lit(name)) for name, flag in flags])
+    return F.array_except(texts, F.array(F.lit(None).cast("string")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.functions.ids import stable_uuid
-from tidelake.functions.parse import instant, typed
+from tidelake.functions.parse import instant, names_where, typed
 from tidelake.operators.ingest import REMOVE
 from tidelake.sources.feeds import CHANGE_ORDER
 from tidelake.specs import EntitySpec, Field
@@ -190,7 +190,7 @@ def patch_ack(
     fields = _updatable(spec, patches)
     folded = fold_patches(patches, fields, spec.key, order)
     stamp = instant(now) if now is not None else F.col(f"_seq.{order[0]}").cast("timestamp")
-    named = F.array_compact(F.array(*[F.when(F.col(f"_has_{f.name}"), f.name) for f in fields]))
+    named = names_where([(f.name, F.col(f"_has_{f.name}")) for f in fields])
     return folded.select(
         spec.key, *[f.name for f in fields], stamp.alias("updatedAt"), named.alias("_present")
     )

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelake.functions.parse import ISO_SHAPE, instant, iso_timestamp, lost_in_cast, typed
+from tidelake.functions.parse import instant, iso_timestamp, lost_in_cast, names_where, typed
 from tidelake.specs import PARTITIONS, EntitySpec, Field, RelationSpec
 
-# Fixed value: one attribute-value record, list members and map values kept as JSON text.
-ATTRIBUTE = "struct<S:string,N:string,BOOL:boolean,NULL:boolean,L:array<string>,M:map<string,string>>"
-MEMBER = "struct<S:string,N:string,BOOL:boolean,NULL:boolean>"
+# One attribute-value record; below the first level lists and maps stay JSON text.
+MEMBER = "struct<S:string,N:string,BOOL:boolean,NULL:boolean,L:string,M:string>"
+ATTRIBUTE = (
+    f"struct<S:string,N:string,BOOL:boolean,NULL:boolean,L:array<{MEMBER}>,M:map<string,{MEMBER}>>"
+)
 # Attribute names that control routing; decoded next to the declared fields.
 SYSTEM_FIELDS = (
     "PK",
@@ -29,11 +31,9 @@ REMOVE = "REMOVE"
 MAX_ATTRIBUTES = 5000
 
 
-def _member_text(json: Column) -> Column:
-    """Text of one list member or map value; kinds it cannot decode stay JSON."""
-    member = F.from_json(json, MEMBER)
-    text = F.coalesce(member.S, member.N, member.BOOL.cast("string"), json)
-    return F.when(member.NULL.isNull(), text)
+def _member_text(member: Column) -> Column:
+    """Text of one list member or map value; what is nested deeper stays JSON."""
+    return F.coalesce(member.S, member.N, member.BOOL.cast("string"), member.L, member.M)
 
 
 def _members(attribute: Column) -> Column:
@@ -69,24 +69,36 @@ def decode(
     fields an image names, which tells an explicit null from an absent field.
     """
     fields = list(fields)
-    inner = T.StructType(
-        [T.StructField(f.name, T._parse_datatype_string(ATTRIBUTE)) for f in fields]
-    )
-    parsed = df.withColumn("_image", F.from_json(F.col(image), inner))
     cols = [c for c in df.columns if c != image and c not in {f.name for f in fields}]
+    parsed = _parse(df, fields, image, cols)
     values = []
-    for f in fields:
-        attribute = F.col("_image").getField(f.name)
-        values.append((_members(attribute) if f.is_list else _plain_text(attribute)).alias(f.name))
+    for i, f in enumerate(fields):
+        attribute = F.col(f"_a{i}")
+        if f.name in SYSTEM_FIELDS:
+            value = attribute.S
+        else:
+            value = _members(attribute) if f.is_list else _plain_text(attribute)
+        values.append(value.alias(f.name))
     named = []
     if presence:
-        flags = [
-            F.when(F.col("_image").getField(f.name).isNotNull(), F.lit(f.name)) for f in fields
-        ]
-        named = [F.array_compact(F.array(*flags)).alias("_present")]
+        flags = [(f.name, F.col(f"_a{i}").isNotNull()) for i, f in enumerate(fields)]
+        named = [names_where(flags).alias("_present")]
     return parsed.select(*cols, *values, *named)
 
 
+def _parse(df: DataFrame, fields: list[Field], image: str, keep: list[str]) -> DataFrame:
+    """Attributes ``_a0``, ``_a1``… of each image, parsed once per row.
+
+    ``inline`` keeps the optimizer from repeating ``from_json`` inside every later
+    expression and filter that reads one of the attributes.
+    """
+    attribute = T._parse_datatype_string(ATTRIBUTE)
+    wanted = T.StructType([T.StructField(f.name, attribute) for f in fields])
+    names = [f"_a{i}" for i in range(len(fields))]
+    whole = F.array(F.from_json(F.col(image), wanted))
+    return df.select(*keep, F.inline(whole).alias(*names))
+
+
 def enforce(df: DataFrame, fields: Iterable[Field]) -> DataFrame:
     """Cast every declared field; ``_cast_errors`` names the ones that were lost.
 
@@ -99,17 +111,20 @@ def enforce(df: DataFrame, fields: Iterable[Field]) -> DataFrame:
         f.name: typed(F.col(f.name), kinds[f.name], f) if f.name in kinds else F.lit(None).cast(f.data_type)
         for f in fields
     }
+    given = {f.name for f in fields if f.name in kinds and kinds[f.name] != f.data_type}
+    others = [c for c in df.columns if c not in names]
+    # Cast first, compare with the raw value after, so no cast is written out twice.
+    both = df.select(
+        *others,
+        *[cast[f.name].alias(f.name) for f in fields],
+        *[F.col(n).alias(f"_raw_{n}") for n in given],
+    )
     lost = [
-        F.when(lost_in_cast(F.col(f.name), cast[f.name], f), F.lit(f.name))
+        (f.name, lost_in_cast(F.col(f"_raw_{f.name}"), F.col(f.name), f))
         for f in fields
-        if f.name in kinds and kinds[f.name] != f.data_type
+        if f.name in given
     ]
-    errors = F.array_compact(F.array(*lost)) if lost else F.array().cast("array<string>")
-    return df.select(
-        *[c for c in df.columns if c not in names],
-        *[cast[f.name].alias(f.name) for f in fields],
-        errors.alias("_cast_errors"),
-    )
+    return both.select(*others, *[f.name for f in fields], names_where(lost).alias("_cast_errors"))
 
 
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -120,9 +135,8 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def required_violations(df: DataFrame, spec: EntitySpec | RelationSpec) -> DataFrame:
     """Key and names of the required fields each offending row leaves null."""
-    needed = [f.name for f in spec.fields if f.required]
-    flags = [F.when(F.col(n).isNull(), F.lit(n)) for n in needed]
-    missing = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
+    nulls = [(f.name, F.col(f.name).isNull()) for f in spec.fields if f.required]
+    missing = names_where(nulls)
     return df.select(F.col(spec.key), missing.alias("missing")).filter(F.size("missing") > 0)
 
 
@@ -131,41 +145,40 @@ def infer_fields(df: DataFrame, names: list[str] | None = None, image: str = "im
 
     A column is a timestamp only when every given value is ISO text that parses; a
     number column is integral only when no value has a point. Everything mixed is text.
-    One aggregate row reaches the driver.
+    One row of counts per attribute name reaches the driver.
     """
-    images = df.select(F.from_json(F.col(image), f"map<string,{ATTRIBUTE}>").alias("m"))
-    if names is None:
-        keys = images.select(F.explode(F.map_keys("m")).alias("k")).distinct()
-        names = sorted(r.k for r in keys.limit(MAX_ATTRIBUTES + 1).collect())
-        if len(names) > MAX_ATTRIBUTES:
-            raise ValueError("too many attribute names to be columns; pass the names to infer")
-    tests = []
-    for i, name in enumerate(names):
-        a = F.col("m").getItem(name)
-        given = F.coalesce(a.NULL, F.lit(False)) == F.lit(False)
-        is_time = a.S.rlike(ISO_SHAPE) & iso_timestamp(a.S).isNotNull()
-        tests += [
-            F.count(F.when(a.isNotNull() & given, 1)).alias(f"n{i}"),
-            F.count(F.when(is_time, 1)).alias(f"time{i}"),
-            F.count(a.N).alias(f"num{i}"),
-            F.count(F.when(a.N.contains("."), 1)).alias(f"frac{i}"),
-            F.count(a.BOOL).alias(f"bool{i}"),
-            F.count(a.L).alias(f"list{i}"),
-        ]
-    if not tests:
-        return []
-    seen = images.agg(*tests).first()
+    entries = df.select(F.explode(F.from_json(F.col(image), f"map<string,{ATTRIBUTE}>")))
+    if names is not None:
+        entries = entries.filter(F.col("key").isin(*names))
+    a = F.col("value")
+    seen = (
+        entries.groupBy("key")
+        .agg(
+            F.count(F.when(~F.coalesce(a.NULL, F.lit(False)), 1)).alias("given"),
+            F.count(iso_timestamp(a.S)).alias("times"),
+            F.count(a.N).alias("numbers"),
+            F.count(F.when(a.N.contains("."), 1)).alias("fractions"),
+            F.count(a.BOOL).alias("flags"),
+            F.count(a.L).alias("lists"),
+        )
+        .limit(MAX_ATTRIBUTES + 1)
+        .collect()
+    )
+    if len(seen) > MAX_ATTRIBUTES:
+        raise ValueError("too many attribute names to be columns; pass the names to infer")
+    counts = {r["key"]: r for r in seen}
     fields = []
-    for i, name in enumerate(names):
-        total = seen[f"n{i}"]
+    for name in names or sorted(counts):
+        n = counts.get(name)
+        total = n["given"] if n else 0
         kind = "String"
-        if total and seen[f"time{i}"] == total:
+        if total and n["times"] == total:
             kind = "AWSDateTime"
-        elif total and seen[f"num{i}"] == total:
-            kind = "Float" if seen[f"frac{i}"] else "Int"
-        elif total and seen[f"bool{i}"] == total:
+        elif total and n["numbers"] == total:
+            kind = "Float" if n["fractions"] else "Int"
+        elif total and n["flags"] == total:
             kind = "Boolean"
-        fields.append(Field(name, kind, is_list=bool(total) and seen[f"list{i}"] == total))
+        fields.append(Field(name, kind, is_list=total > 0 and n["lists"] == total))
     return fields
 
 
@@ -244,9 +257,7 @@ def typed_changes(df: DataFrame, spec: EntitySpec) -> DataFrame:
     mine = decoded.filter(
         (route_of() == "entity") & (F.lower("entityType") == spec.table)
     ).drop(*SYSTEM_FIELDS, "old_image", "new_image", "key")
-    keyless = F.when(F.col(spec.key).isNull(), F.array(F.lit(spec.key))).otherwise(
-        F.array().cast("array<string>")
-    )
+    keyless = names_where([(spec.key, F.col(spec.key).isNull())])
     return enforce(mine, spec.fields).withColumn(
         "_cast_errors", F.array_union("_cast_errors", keyless)
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelake.functions.parse import names_where
 from tidelake.operators import entities as ops
 from tidelake.operators.ingest import route, decode, pick_image, SYSTEM_FIELDS
 from tidelake.plans import fixtures as fx
@@ -79,11 +80,8 @@ def read_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views set the value, clicks the props, purchases both; others patch nothing."""
     kind = F.col("event_type")
-    present = F.array_compact(
-        F.array(
-            F.when(kind.isin("view", "purchase"), "value"),
-            F.when(kind.isin("click", "purchase"), "props"),
-        )
+    present = names_where(
+        [("value", kind.isin("view", "purchase")), ("props", kind.isin("click", "purchase"))]
     )
     return (
         fx.table(spark, sf_dir, "events")

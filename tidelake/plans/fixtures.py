@@ -6,6 +6,8 @@ follows from their attributes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +129,12 @@ def customer_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_parts_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation_rows(CUSTOMER_PARTS, customer_parts(spark, sf_dir))
+    """The relation as a stored table."""
+
+    def rows() -> DataFrame:
+        return relation_rows(CUSTOMER_PARTS, customer_parts(spark, sf_dir))
+
+    return stored(spark, sf_dir, "customer-parts", rows)
 
 
 def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,11 +213,33 @@ def event_image() -> Column:
     )
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(
+    spark: SparkSession, sf_dir: str, name: str, rows: Callable[[], DataFrame]
+) -> DataFrame:
+    """A derived table as operators meet it: Parquet in the shared folder, one per session."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _STORED:
+        path = new_dir(spark, name)
+        rows().write.parquet(path)
+        _STORED[at] = path
+    return spark.read.parquet(_STORED[at])
+
+
 def change_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded change records as a stored feed."""
+    return stored(spark, sf_dir, "changes", lambda: encoded_changes(spark, sf_dir))
+
+
+def encoded_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as encoded change records."""
     image = event_image()
     removed = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").select(
+    # A feed arrives as many files; one small input file would leave one.
+    events = table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism)
+    return events.select(
         F.concat(F.lit("account#"), "user_id").alias("key"),
         op_of().alias("op"),
         F.col("ts").cast("timestamp").alias("ts"),

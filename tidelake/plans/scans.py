@@ -66,7 +66,7 @@ def relation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def change_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "changes")
-    fx.change_records(spark, sf_dir).write.parquet(path)
+    fx.encoded_changes(spark, sf_dir).write.parquet(path)
     return feeds.changes(spark, path).select(
         "key",
         "op",

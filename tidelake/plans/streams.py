@@ -25,7 +25,7 @@ def _state(df: DataFrame) -> DataFrame:
 
 def _change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "change-files")
-    fx.change_records(spark, sf_dir).write.parquet(path)
+    fx.encoded_changes(spark, sf_dir).write.parquet(path)
     return feeds.changes(spark, path, streaming=True, files_per_batch=1000)
 
 
