@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelake.functions.ids import legacy_key
 from tidelake.functions.parse import instant, iso_timestamp, lost_in_cast, names_where, typed
 from tidelake.specs import PARTITIONS, EntitySpec, Field, RelationSpec
 
@@ -252,12 +253,35 @@ def typed_changes(df: DataFrame, spec: EntitySpec) -> DataFrame:
     One columnar pass: pick the image, decode the declared attributes, keep this
     entity, cast. No shuffle. A row without a key is an error like a failed cast.
     """
+    decoded = _decode_with_system(df, spec.fields)
+    mine = decoded.filter((route_of() == "entity") & (F.lower("entityType") == spec.table))
+    return _typed(mine.drop("relationId"), spec)
+
+
+def relation_changes(df: DataFrame, spec: RelationSpec) -> DataFrame:
+    """Change records of one relation table, typed the same way.
+
+    Rows written the old way have no relation id of their own; theirs is made from
+    both key halves. Only those can be removed by a change record.
+    """
+    decoded = _decode_with_system(df, [f for f in spec.fields if f.name not in SYSTEM_FIELDS])
+    route = route_of()
+    name = F.lower(F.coalesce(F.col("joinTableName"), F.col("joinTable")))
+    mine = decoded.filter(route.isin("relation", "legacy_relation") & (name == spec.table))
+    old = legacy_key(F.col("PK"), F.col("SK"))
+    rid = F.when(route == "relation", F.col("relationId")).otherwise(old)
+    return _typed(mine.withColumn("relationId", rid), spec)
+
+
+def _decode_with_system(df: DataFrame, fields: Iterable[Field]) -> DataFrame:
     system = [Field(n, "String") for n in SYSTEM_FIELDS]
-    decoded = decode(pick_image(df), system + list(spec.fields))
-    mine = decoded.filter(
-        (route_of() == "entity") & (F.lower("entityType") == spec.table)
-    ).drop(*SYSTEM_FIELDS, "old_image", "new_image", "key")
+    images = pick_image(df).drop("key", "old_image", "new_image")
+    return decode(images, system + list(fields))
+
+
+def _typed(rows: DataFrame, spec: EntitySpec | RelationSpec) -> DataFrame:
+    hidden = [c for c in SYSTEM_FIELDS if c not in spec.columns]
     keyless = names_where([(spec.key, F.col(spec.key).isNull())])
-    return enforce(mine, spec.fields).withColumn(
+    return enforce(rows.drop(*hidden), spec.fields).withColumn(
         "_cast_errors", F.array_union("_cast_errors", keyless)
     )

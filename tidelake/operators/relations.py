@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -27,14 +27,10 @@ class Inserted:
     rejected: DataFrame
 
 
-def relation_rows(
-    spec: RelationSpec, batch: DataFrame, now: datetime | str | Column | None = None
+def _members(
+    spec: RelationSpec, batch: DataFrame, now: datetime | str | Column | None
 ) -> DataFrame:
-    """Rows of the declared relation table for a batch of member values.
-
-    Only declared columns are kept. Creation time is the batch's own ``createdAt``
-    where it has one, else ``now``.
-    """
+    """Declared member columns, typed, and the creation time of each association."""
     if "createdAt" in batch.columns:
         created = F.col("createdAt").cast("timestamp")
         created = created if now is None else F.coalesce(created, instant(now))
@@ -44,21 +40,45 @@ def relation_rows(
         raise ValueError("pass now: the batch carries no createdAt")
     kinds = {f.name: f.dataType for f in batch.schema.fields}
     declared = {f.name: f for f in spec.fields}
-    rows = batch.select(
-        relation_id(spec).alias(ID),
+    return batch.select(
         *[typed(F.col(c), kinds[c], declared[c]).alias(c) for c in spec.members],
         created.alias("createdAt"),
     )
-    return rows.withColumn("s3Key", storage_key(spec, F.col("createdAt"), F.col(ID))).select(
-        *spec.columns
-    )
 
 
-def first_per_relation(rows: DataFrame, order: Sequence[str] = ("createdAt",)) -> DataFrame:
-    """One row per relation id: the earliest, reduced before the shuffle."""
-    whole = F.struct(*[F.col(c) for c in rows.columns])
-    rank = F.struct(*order, *[c for c in rows.columns if c not in order])
-    return rows.groupBy(ID).agg(F.min_by(whole, rank).alias("_first")).select("_first.*")
+def _derived(spec: RelationSpec, members: DataFrame) -> DataFrame:
+    """Add what follows from the members: the id and the storage key."""
+    rows = members if ID in members.columns else members.withColumn(ID, relation_id(spec))
+    key = storage_key(spec, F.col("createdAt"), F.col(ID))
+    return rows.withColumn("s3Key", key).select(*spec.columns)
+
+
+def relation_rows(
+    spec: RelationSpec, batch: DataFrame, now: datetime | str | Column | None = None
+) -> DataFrame:
+    """Rows of the declared relation table for a batch of member values.
+
+    Only declared columns are kept. Creation time is the batch's own ``createdAt``
+    where it has one, else ``now``.
+    """
+    return _derived(spec, _members(spec, batch, now))
+
+
+def first_per_relation(spec: RelationSpec, members: DataFrame) -> DataFrame:
+    """The earliest row of each association, reduced before the shuffle.
+
+    Where the members alone tell associations apart they are the grouping key and only
+    a minimum is kept, so aggregation is by hash. Text members could spell one id in
+    two ways, and members of one type come in two orders: those group by the id.
+    """
+    names = list(spec.members)
+    numeric = all(f.kind in ("Int", "Boolean") for f in spec.fields if f.name in spec.members)
+    distinct_types = len(set(spec.members.values())) == len(names)
+    if numeric and (distinct_types or spec.directed):
+        return members.groupBy(*names).agg(F.min("createdAt").alias("createdAt"))
+    row = F.struct("createdAt", *names)
+    picked = members.groupBy(relation_id(spec).alias(ID)).agg(F.min(row).alias("_first"))
+    return picked.select(ID, "_first.*")
 
 
 def insert(
@@ -66,24 +86,23 @@ def insert(
     batch: DataFrame,
     existing: DataFrame | None = None,
     now: datetime | str | Column | None = None,
-    order: Sequence[str] = ("createdAt",),
 ) -> Inserted:
-    """Insert if absent. A repeat, in the batch or already stored, adds nothing.
+    """Insert if absent; the earliest of several repeats in a batch is kept.
 
     The stored table is only probed for the ids of the batch, one narrow column and no
     shuffle while those ids fit the broadcast threshold; the much smaller answer is
     then taken out of the batch.
     """
-    rows = relation_rows(spec, batch, now)
-    good = rows.filter(F.col(ID).isNotNull())
-    first = first_per_relation(good, order)
+    members = _members(spec, batch, now)
+    complete = relation_id(spec).isNotNull()
+    first = _derived(spec, first_per_relation(spec, members.filter(complete)))
+    rejected = members.filter(~complete)
     if existing is None:
-        fresh, stored = first, first.limit(0)
-    else:
-        present = existing.select(ID).join(first.select(ID), ID, "left_semi")
-        fresh = first.join(present, ID, "left_anti")
-        stored = first.join(present, ID, "left_semi")
-    return Inserted(fresh, stored, rows.filter(F.col(ID).isNull()))
+        return Inserted(first, first.filter(F.lit(False)), rejected)
+    present = existing.select(ID).join(first.select(ID), ID, "left_semi")
+    return Inserted(
+        first.join(present, ID, "left_anti"), first.join(present, ID, "left_semi"), rejected
+    )
 
 
 def edges(spec: RelationSpec, rel: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ FAVOURITES = QuerySpec(
 
 def favourite_parts(spark: SparkSession, sf_dir: str, segment: str) -> DataFrame:
     tables = _tables(spark, sf_dir, "part", "customer")
-    tables["customer_parts"] = fx.customer_parts(spark, sf_dir)
+    tables["customer_parts"] = fx.customer_parts_relation(spark, sf_dir)
     shaped = ops.run(spark, FAVOURITES, {"segment": segment}, tables)
     return shaped.withColumn("createdAt", fx.ntz("createdAt"))
 
@@ -107,11 +107,11 @@ def favourite_parts(spark: SparkSession, sf_dir: str, segment: str) -> DataFrame
 )
 def m2m_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _tables(spark, sf_dir, "part")
-    tables["customer_parts"] = fx.customer_parts(spark, sf_dir)
+    tables["customer_parts"] = fx.customer_parts_relation(spark, sf_dir)
     return ops.bound(
         spark,
         """SELECT p.p_partkey, p.p_name, p.p_brand, p.p_retailprice, cp.customerId AS o_custkey,
-          cp.createdAt AS created FROM part p JOIN customer_parts cp ON p.p_partkey = cp.partId""",
+          CAST(cp.createdAt AS TIMESTAMP_NTZ) AS created FROM part p JOIN customer_parts cp ON p.p_partkey = cp.partId""",
         tables=tables,
     )
 
@@ -302,9 +302,9 @@ def agg_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relation_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    pairs = fx.customer_parts(spark, sf_dir).select(
+    pairs = fx.customer_parts_relation(spark, sf_dir).select(
         F.col("customerId").alias("o_custkey"), F.col("partId").alias("l_partkey"),
-        F.col("createdAt").alias("created"),
+        fx.ntz("createdAt").alias("created"),
     )
     # The keys after the date make the order total and split dates with many rows.
     return (

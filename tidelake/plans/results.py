@@ -52,7 +52,7 @@ def duplicate_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = queries.bound(
         spark,
         "SELECT * FROM part_entity p JOIN customer_parts cp ON p.id = cp.partId",
-        tables={"part_entity": part, "customer_parts": fx.customer_parts(spark, sf_dir)},
+        tables={"part_entity": part, "customer_parts": fx.customer_parts_relation(spark, sf_dir)},
     )
     spec = ResponseSpec("Favourite", {"name": "String!", "createdAt": "AWSDateTime!"})
     return ops.shape(rows, spec).withColumn("createdAt", fx.ntz("createdAt"))

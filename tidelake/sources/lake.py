@@ -1,7 +1,8 @@
 """A mutable table over Parquet: immutable versions, rewritten one date at a time.
 
-Parquet has no delete or merge. A commit writes new files only for the dates it
-touches and then publishes a manifest that says which version holds each date::
+Parquet has no delete or merge. A commit writes new rows, and rewrites only the dates
+that hold changed keys; then it publishes a manifest that says which versions make up
+each date::
 
     root/data/v=N/year=YYYY/month=MM/day=DD/*.parquet
     root/manifest/v=N/          one row: the live dates and where they are
@@ -12,6 +13,7 @@ names. There is one writer per table; a second one that publishes the same versi
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import datetime
@@ -36,11 +38,11 @@ _MANIFEST = (
 
 @dataclass(frozen=True)
 class Manifest:
-    """Which version directory holds each live date, and the last streaming batch."""
+    """Which version directories make up each live date, and the last numbered batch."""
 
     version: int
     batch: int
-    days: dict[Day, int]
+    days: dict[Day, tuple[int, ...]]
 
 
 class LakeTable:
@@ -69,22 +71,27 @@ class LakeTable:
         if version == 0:
             return Manifest(0, -1, {})
         row = self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest/v={version}").first()
-        return Manifest(version, row.batch, {(d.year, d.month, d.day): d.v for d in row.days})
+        days: dict[Day, tuple[int, ...]] = {}
+        for d in row.days:
+            day = (d.year, d.month, d.day)
+            days[day] = (*days.get(day, ()), d.v)
+        return Manifest(version, row.batch, days)
 
     def _written(self, version: int) -> set[Day]:
         paths = self._glob(f"data/v={version}/year=*/month=*/day=*")
         parts = [[piece.split("=")[-1] for piece in p.split("/")[-3:]] for p in paths]
         return {(y, m, d) for y, m, d in parts}
 
-    def _paths(self, days: dict[Day, int], whole: dict[int, int]) -> list[str]:
+    def _paths(self, days: dict[Day, tuple[int, ...]]) -> list[str]:
         """Directories to read: a whole version where every date of it is wanted."""
-        by_version: dict[int, list[Day]] = {}
-        for day, v in days.items():
-            by_version.setdefault(v, []).append(day)
+        by_version: dict[int, set[Day]] = {}
+        for day, versions in days.items():
+            for v in versions:
+                by_version.setdefault(v, set()).add(day)
         paths = []
         for v, wanted in sorted(by_version.items()):
             top = f"{self.root}/data/v={v}"
-            if len(wanted) == whole.get(v):
+            if wanted == self._written(v):
                 paths.append(top)
             else:
                 paths += [f"{top}/year={y}/month={m}/day={d}" for y, m, d in sorted(wanted)]
@@ -92,17 +99,11 @@ class LakeTable:
 
     # -- reading -------------------------------------------------------------
 
-    def _read(self, manifest: Manifest, days: dict[Day, int], **options) -> DataFrame:
+    def _read(self, days: dict[Day, tuple[int, ...]], **options) -> DataFrame:
         if not days:
             return empty_frame(self.spark, self.spec.schema())
-        whole = {v: len(self._written(v)) for v in set(days.values())}
-        return scan(
-            self.spark,
-            self.spec,
-            self._paths(days, whole),
-            base_path=f"{self.root}/data",
-            **options,
-        )
+        base_path = f"{self.root}/data"
+        return scan(self.spark, self.spec, self._paths(days), base_path=base_path, **options)
 
     def scan(
         self,
@@ -111,32 +112,37 @@ class LakeTable:
         version: int | None = None,
     ) -> DataFrame:
         """Live rows of one version with the declared columns."""
-        manifest = self.manifest(version)
-        return self._read(manifest, manifest.days, where=where, years=years)
+        return self._read(self.manifest(version).days, where=where, years=years)
 
     # -- writing -------------------------------------------------------------
 
     def _publish(
-        self, base: Manifest, rows: DataFrame, touched: Iterable[Day], batch: int | None = None
+        self, base: Manifest, rows: DataFrame, replaced: Iterable[Day], batch: int | None = None
     ) -> int:
+        """Write ``rows`` as the next version; they replace some dates and extend the others."""
         version = base.version + 1
         write_lake(rows, self.spec, f"{self.root}/data/v={version}", mode="overwrite")
-        days = {d: v for d, v in base.days.items() if d not in set(touched)}
-        days |= dict.fromkeys(self._written(version), version)
-        row = (version, base.batch if batch is None else batch, [(*d, v) for d, v in days.items()])
+        dropped = set(replaced)
+        days = {d: vs for d, vs in base.days.items() if d not in dropped}
+        for day in self._written(version):
+            days[day] = (*days.get(day, ()), version)
+        entry = {
+            "version": version,
+            "batch": base.batch if batch is None else batch,
+            "days": [
+                dict(zip((*PARTITIONS, "v"), (*d, v), strict=True))
+                for d, vs in sorted(days.items())
+                for v in vs
+            ],
+        }
         target = f"{self.root}/manifest/v={version}"
+        line = self.spark.range(1).select(F.lit(json.dumps(entry)).alias("value"))
         try:
-            self.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode(
-                "errorifexists"
-            ).json(target)
+            line.coalesce(1).write.mode("errorifexists").text(target)
         except AnalysisException as taken:
             raise RuntimeError(f"another writer published version {version}") from taken
         return version
 
-    def _days(self, df: DataFrame) -> list[Day]:
-        """Distinct dates of ``df``; as many rows as the calendar has days at most."""
-        return [tuple(r) for r in df.select(*PARTITIONS).distinct().collect()]
-
     def _rewrite(
         self,
         base: Manifest,
@@ -145,20 +151,21 @@ class LakeTable:
         batch: int | None = None,
     ) -> int:
         """Publish ``change`` applied to the touched dates; other dates keep their files."""
-        old = self._read(base, {d: base.days[d] for d in touched if d in base.days})
+        old = self._read({d: base.days[d] for d in touched})
         return self._publish(base, change(old), touched, batch)
 
-    def _home(self, base: Manifest, keys: DataFrame) -> list[Day]:
-        """Dates that hold any of ``keys``: a scan of the key column only."""
-        current = self._read(base, base.days).select(self.spec.key, *PARTITIONS)
-        return self._days(current.join(keys, self.spec.key, "left_semi"))
+    def _home(self, base: Manifest, keys: DataFrame) -> set[Day]:
+        """Dates that hold any of ``keys``: a scan of the key column only.
+
+        As many rows as the calendar has days reach the driver at most.
+        """
+        current = self._read(base.days).select(self.spec.key, *PARTITIONS)
+        hit = current.join(keys, self.spec.key, "left_semi")
+        return {tuple(r) for r in hit.select(*PARTITIONS).distinct().collect()}
 
     def append(self, rows: DataFrame, now: datetime | str | Column) -> int:
-        """Add rows with new keys; dates already present keep their old rows as well."""
-        base = self.manifest()
-        rows = cut(with_partitions(rows, now).select(*self.spec.columns, *PARTITIONS))
-        touched = set(self._days(rows))
-        return self._rewrite(base, touched, lambda old: old.unionByName(rows))
+        """Add rows with new keys; nothing stored is read or rewritten."""
+        return self._publish(self.manifest(), with_partitions(rows, now), ())
 
     def merge(
         self,
@@ -176,14 +183,13 @@ class LakeTable:
         if batch is not None and batch <= base.batch:
             return base.version
         key = self.spec.key
-        # Reduced to one row per changed key, stored once, used by three jobs.
+        # Reduced to one row per changed key, stored once, used by two jobs.
         last = cut(with_partitions(last_change(changes, key, order), now))
         alive = last.filter(F.col("op") != REMOVE).select(*self.spec.columns, *PARTITIONS)
         keys = last.select(key)
-        touched = set(self._home(base, keys)) | set(self._days(alive))
         return self._rewrite(
             base,
-            touched,
+            self._home(base, keys),
             lambda old: old.join(keys, key, "left_anti").unionByName(alive),
             batch,
         )
@@ -195,19 +201,19 @@ class LakeTable:
         base = self.manifest()
         patches = cut(patches)
         keys = patches.select(self.spec.key).distinct()
-        touched = set(self._home(base, keys))
+        touched = self._home(base, keys)
         if not touched:
             return keys
-        known = self._read(base, {d: base.days[d] for d in touched}).select(self.spec.key)
-        unknown = keys.join(known, self.spec.key, "left_anti")
+        before = self._read({d: base.days[d] for d in touched}).select(self.spec.key)
+        known = before.join(keys, self.spec.key, "left_semi")
         self._rewrite(base, touched, lambda old: patch(old, patches, self.spec, now, order)[0])
-        return unknown
+        return keys.join(known, self.spec.key, "left_anti")
 
     def remove(self, keys: DataFrame) -> int:
         """Delete rows by key."""
         base = self.manifest()
         keys = cut(keys.select(self.spec.key).distinct())
-        touched = set(self._home(base, keys))
+        touched = self._home(base, keys)
         if not touched:
             return base.version
         return self._rewrite(
@@ -225,7 +231,7 @@ class LakeTable:
     def vacuum(self, keep: int = 1) -> list[int]:
         """Drop data versions that none of the last ``keep`` manifests uses."""
         kept = self.versions()[-keep:]
-        used = {v for n in kept for v in self.manifest(n).days.values()}
+        used = {v for n in kept for vs in self.manifest(n).days.values() for v in vs}
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         dropped = []
