@@ -408,6 +408,9 @@ def test_specs():
     assert spec.schema().simpleString().startswith("struct<id:string,age:bigint,tags:array<string>,kind:string")
     assert [f.name for f in spec.input_fields("create")] == ["age", "tags", "kind"]
     assert not any(f.required for f in spec.input_fields("update"))
+    for name in ("year", "Month", "__v"):
+        with pytest.raises(ValueError):
+            EntitySpec("Bad", {"id": "ID!", name: "Int"})
 
 
 def test_scan_of_nanosecond_files_with_narrow_types(spark, tmp_path):

@@ -4,8 +4,8 @@ Parquet has no delete or merge. A commit writes new rows, and rewrites only the
 that hold changed keys; then it publishes a manifest that says which versions make up
 each date::
 
-    root/data/v=N/year=YYYY/month=MM/day=DD/*.parquet
-    root/manifest/v=N/          one row: the live dates and where they are
+    root/data/__v=N/year=YYYY/month=MM/day=DD/*.parquet
+    root/manifest/__v=N/        one row: the live dates and where they are
 
 A reader uses one manifest from start to end. A failed commit leaves files no manifest
 names. There is one writer per table; a second one that publishes the same version fails.
@@ -61,8 +61,8 @@ class LakeTable:
 
     def versions(self) -> list[int]:
         """Published versions, oldest first."""
-        done = self._glob("manifest/v=*/_SUCCESS")
-        return sorted(int(p.split("/v=")[-1].split("/")[0]) for p in done)
+        done = self._glob("manifest/__v=*/_SUCCESS")
+        return sorted(int(p.split("/__v=")[-1].split("/")[0]) for p in done)
 
     def manifest(self, version: int | None = None) -> Manifest:
         """The given manifest, the newest one when left out."""
@@ -70,7 +70,7 @@ class LakeTable:
             version = max(self.versions(), default=0)
         if version == 0:
             return Manifest(0, -1, {})
-        row = self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest/v={version}").first()
+        row = self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest/__v={version}").first()
         days: dict[Day, tuple[int, ...]] = {}
         for d in row.days:
             day = (d.year, d.month, d.day)
@@ -78,7 +78,7 @@ class LakeTable:
         return Manifest(version, row.batch, days)
 
     def _written(self, version: int) -> set[Day]:
-        paths = self._glob(f"data/v={version}/year=*/month=*/day=*")
+        paths = self._glob(f"data/__v={version}/year=*/month=*/day=*")
         parts = [[piece.split("=")[-1] for piece in p.split("/")[-3:]] for p in paths]
         return {(y, m, d) for y, m, d in parts}
 
@@ -90,7 +90,7 @@ class LakeTable:
                 by_version.setdefault(v, set()).add(day)
         paths = []
         for v, wanted in sorted(by_version.items()):
-            top = f"{self.root}/data/v={v}"
+            top = f"{self.root}/data/__v={v}"
             if wanted == self._written(v):
                 paths.append(top)
             else:
@@ -121,7 +121,7 @@ class LakeTable:
     ) -> int:
         """Write ``rows`` as the next version; they replace some dates and extend the others."""
         version = base.version + 1
-        write_lake(rows, self.spec, f"{self.root}/data/v={version}", mode="overwrite")
+        write_lake(rows, self.spec, f"{self.root}/data/__v={version}", mode="overwrite")
         dropped = set(replaced)
         days = {d: vs for d, vs in base.days.items() if d not in dropped}
         for day in self._written(version):
@@ -135,7 +135,7 @@ class LakeTable:
                 for v in vs
             ],
         }
-        target = f"{self.root}/manifest/v={version}"
+        target = f"{self.root}/manifest/__v={version}"
         line = self.spark.range(1).select(F.lit(json.dumps(entry)).alias("value"))
         try:
             line.coalesce(1).write.mode("errorifexists").text(target)
@@ -236,7 +236,7 @@ class LakeTable:
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         dropped = []
         for folder, live in (("manifest", set(kept)), ("data", used)):
-            for text in self._glob(f"{folder}/v=*"):
+            for text in self._glob(f"{folder}/__v=*"):
                 v = int(text.rsplit("=", 1)[-1])
                 if v not in live and v < kept[-1]:
                     path = jvm.org.apache.hadoop.fs.Path(text)

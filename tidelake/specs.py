@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -48,6 +48,13 @@ class Field:
         return T.StructField(self.name, self.data_type, not self.required)
 
 
+def _check_stored(owner: str, names: Iterable[str]) -> None:
+    """Stored columns must not look like a directory level of the table."""
+    clash = [n for n in names if n.lower() in PARTITIONS or n.startswith("__")]
+    if clash:
+        raise ValueError(f"{owner}: {', '.join(clash)} cannot be a stored column")
+
+
 def _fields(declared: Mapping[str, str]) -> tuple[Field, ...]:
     return tuple(Field.of(name, kind) for name, kind in declared.items())
 
@@ -68,6 +75,7 @@ class EntitySpec:
     def __post_init__(self):
         fields = tuple(f for f in _fields(self.declared) if f.name not in INTERNAL)
         known = {f.name for f in fields}
+        _check_stored(self.name, known)
         extra = (Field(n, "AWSDateTime") for n in ("createdAt", "updatedAt") if n not in known)
         object.__setattr__(self, "fields", fields + tuple(extra))
 
@@ -111,6 +119,7 @@ class RelationSpec:
     def __post_init__(self):
         if not self.members:
             raise ValueError(f"relation {self.name!r} names no member entity")
+        _check_stored(self.name, self.members)
 
     @property
     def table(self) -> str:
