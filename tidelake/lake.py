@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.operators import entities, queries, relations, runs
-from tidelake.operators.ingest import quarantine, relation_changes, typed_changes
+from tidelake.operators.ingest import quarantine, relation_changes, typed_changes, with_route
 from tidelake.session import configure, cut
 from tidelake.sources.files import load_result, save_result
 from tidelake.sources.lake import LakeTable
@@ -111,9 +111,11 @@ class Lake:
         The batch is numbered per table, so one that comes again is applied once. A
         removed entity takes its relations with it.
         """
+        # Routed and stored once; every table then reads and parses only its own part.
+        routed = cut(with_route(changes), "_route", "_table")
         gone = []
         for name, spec in self.entities.items():
-            good, bad = quarantine(typed_changes(changes, spec))
+            good, bad = quarantine(cut(typed_changes(routed, spec)))
             bad.write.mode("overwrite").parquet(f"{bad_path}/{name}")
             self.table(name).merge(good, now, batch=batch)
             gone.append(
@@ -122,18 +124,18 @@ class Lake:
                 )
             )
         for name, spec in self.relations.items():
-            good, bad = quarantine(relation_changes(changes, spec))
+            good, bad = quarantine(cut(relation_changes(routed, spec)))
             bad.write.mode("overwrite").parquet(f"{bad_path}/{name}")
             self.table(name).merge(good, now, batch=batch)
         if gone and self.relations:
-            self.cascade(reduce(DataFrame.unionByName, gone).distinct())
+            self.cascade(cut(reduce(DataFrame.unionByName, gone).distinct()))
 
     # -- relations -----------------------------------------------------------
 
     def relate(self, relation: str, batch: DataFrame, now: Now) -> Row:
         """Insert associations that are not there yet; returns the three counts."""
         table = self.table(relation)
-        done = relations.insert(table.spec, batch, table.scan(), now)
+        done = relations.insert(table.spec, batch, table.scan(), now, reuse=True)
         rows = cut(done.rows)
         counts = Row(
             inserted=rows.count(), repeats=done.repeats.count(), rejected=done.rejected.count()

@@ -247,14 +247,34 @@ def route(df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def with_route(df: DataFrame) -> DataFrame:
+    """Change records with ``_route`` and ``_table``, their image still encoded.
+
+    Stored by these two columns, a batch can feed many tables and each reads and parses
+    only its own records.
+    """
+    system = [Field(n, "String") for n in SYSTEM_FIELDS]
+    picked = pick_image(df).drop("key", "old_image", "new_image")
+    routed = decode(picked.withColumn("_body", F.col("image")), system)
+    kind = F.when(route_of() == "entity", F.col("entityType")).otherwise(
+        F.coalesce(F.col("joinTableName"), F.col("joinTable"))
+    )
+    return routed.select(
+        *[c for c in routed.columns if c != "_body"],
+        F.col("_body").alias("image"),
+        route_of().alias("_route"),
+        F.lower(kind).alias("_table"),
+    ).filter(F.col("_route") != "dropped")
+
+
 def typed_changes(df: DataFrame, spec: EntitySpec) -> DataFrame:
     """Change records of one entity as typed rows with ``op``, ``ts``, ``seq``, ``_cast_errors``.
 
     One columnar pass: pick the image, decode the declared attributes, keep this
     entity, cast. No shuffle. A row without a key is an error like a failed cast.
+    Takes change records as they come or after ``with_route``.
     """
-    decoded = _decode_with_system(df, spec.fields)
-    mine = decoded.filter((route_of() == "entity") & (F.lower("entityType") == spec.table))
+    mine = _of_table(df, spec, ("entity",))
     return _typed(mine.drop("relationId"), spec)
 
 
@@ -264,23 +284,31 @@ def relation_changes(df: DataFrame, spec: RelationSpec) -> DataFrame:
     Rows written the old way have no relation id of their own; theirs is made from
     both key halves. Only those can be removed by a change record.
     """
-    decoded = _decode_with_system(df, [f for f in spec.fields if f.name not in SYSTEM_FIELDS])
-    route = route_of()
-    name = F.lower(F.coalesce(F.col("joinTableName"), F.col("joinTable")))
-    mine = decoded.filter(route.isin("relation", "legacy_relation") & (name == spec.table))
+    mine = _of_table(df, spec, ("relation", "legacy_relation"))
     old = legacy_key(F.col("PK"), F.col("SK"))
-    rid = F.when(route == "relation", F.col("relationId")).otherwise(old)
+    rid = F.when(F.col("_route") == "relation", F.col("relationId")).otherwise(old)
     return _typed(mine.withColumn("relationId", rid), spec)
 
 
-def _decode_with_system(df: DataFrame, fields: Iterable[Field]) -> DataFrame:
-    system = [Field(n, "String") for n in SYSTEM_FIELDS]
+def _of_table(
+    df: DataFrame, spec: EntitySpec | RelationSpec, routes: tuple[str, ...]
+) -> DataFrame:
+    """Decoded records of one table, with their system attributes and ``_route``."""
+    declared = [f for f in spec.fields if f.name not in SYSTEM_FIELDS]
+    if "_route" in df.columns:
+        mine = df.filter(F.col("_route").isin(*routes) & (F.col("_table") == spec.table))
+        return decode(mine.drop("_table"), declared)
     images = pick_image(df).drop("key", "old_image", "new_image")
-    return decode(images, system + list(fields))
+    decoded = decode(images, [Field(n, "String") for n in SYSTEM_FIELDS] + declared)
+    name = F.coalesce(F.col("joinTableName"), F.col("joinTable"))
+    table = F.when(route_of() == "entity", F.col("entityType")).otherwise(name)
+    return decoded.withColumn("_route", route_of()).filter(
+        F.col("_route").isin(*routes) & (F.lower(table) == spec.table)
+    )
 
 
 def _typed(rows: DataFrame, spec: EntitySpec | RelationSpec) -> DataFrame:
-    hidden = [c for c in SYSTEM_FIELDS if c not in spec.columns]
+    hidden = [c for c in (*SYSTEM_FIELDS, "_route") if c not in spec.columns]
     keyless = names_where([(spec.key, F.col(spec.key).isNull())])
     return enforce(rows.drop(*hidden), spec.fields).withColumn(
         "_cast_errors", F.array_union("_cast_errors", keyless)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.operators.results import shape
+from tidelake.session import cut
 from tidelake.specs import QuerySpec
 
 # An offset page sorts offset + n rows into one task; deeper pages go by ``after``.
@@ -104,12 +105,15 @@ def statement(
     return df if query.is_list else df.first()
 
 
-def count_over(df: DataFrame, name: str = "total") -> DataFrame:
+def count_over(df: DataFrame, name: str = "total", reuse: bool = False) -> DataFrame:
     """Every row next to the number of rows, as ``COUNT(*) OVER ()`` gives.
 
     The count is a scalar subquery: partial counts meet in one row, the rows themselves
     stay where they are. A window without a partition would move all of them to one task.
+    ``reuse`` stores rows that are too costly to compute for the count as well.
     """
+    if reuse:
+        df = cut(df)
     return df.select("*", df.agg(F.count(F.lit(1))).scalar().alias(name))
 
 

@@ -86,17 +86,21 @@ def insert(
     batch: DataFrame,
     existing: DataFrame | None = None,
     now: datetime | str | Column | None = None,
+    reuse: bool = False,
 ) -> Inserted:
     """Insert if absent; the earliest of several repeats in a batch is kept.
 
     The stored table is only probed for the ids of the batch, one narrow column and no
     shuffle while those ids fit the broadcast threshold; the much smaller answer is
-    then taken out of the batch.
+    then taken out of the batch. ``reuse`` stores the reduced batch, which three of the
+    outputs need, and so makes its size known.
     """
     members = _members(spec, batch, now)
     complete = relation_id(spec).isNotNull()
     first = _derived(spec, first_per_relation(spec, members.filter(complete)))
     rejected = members.filter(~complete)
+    if reuse:
+        first = cut(first)
     if existing is None:
         return Inserted(first, first.filter(F.lit(False)), rejected)
     present = existing.select(ID).join(first.select(ID), ID, "left_semi")

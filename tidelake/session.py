@@ -10,62 +10,76 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
+# Settings results or scale depend on, valid in any running session.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key even where the grouping after it then needs its own shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
 def build_session(app: str = "tidelake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for.
 
-    Partition counts are left to adaptive execution: start wide, let it coalesce,
-    split skewed join inputs and skewed rebalance outputs.
+    Partition counts are left to adaptive execution: start wide, let it coalesce to
+    file-sized pieces, split skewed join inputs and skewed rebalance outputs.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
-        **conf,
-    }
-    for name, value in settings.items():
+    tuned = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m", **SETTINGS, **conf}
+    for name, value in tuned.items():
         builder = builder.config(name, value)
     return configure(builder.getOrCreate())
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the two settings results depend on to a session made elsewhere."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    """Apply the settings to a session made elsewhere."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     return spark
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for intermediate tables and stream checkpoints of this application.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session, where
     driver and executors are one process, may fall back to a temporary folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _LOCAL_SCRATCH.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tidelake-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        if context.applicationId not in _LOCAL_SCRATCH:
+            _LOCAL_SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="tidelake-")
+        shared = _LOCAL_SCRATCH[context.applicationId]
+    return f"{shared.rstrip('/')}/tidelake/{context.applicationId}"
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
+    """A fresh path below the work folder; nothing is created yet."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget how it was computed.
+def cut(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Store ``df`` as a table in the work folder and go on from there.
 
-    Used where one result feeds several jobs, so it is neither recomputed per job
-    nor lost with an executor.
+    Used where one result feeds several jobs, so it is neither recomputed per job nor
+    lost with an executor. The planner then knows its true size, which is what lets it
+    broadcast a small set of keys instead of shuffling the big table they meet.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(work_dir(spark))
-    return df.checkpoint(eager=True)
+    path = new_dir(spark, "cut")
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_work_dir(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once nothing reads them."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

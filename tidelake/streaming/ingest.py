@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidelake.operators.ingest import quarantine, typed_changes, with_metadata
+from tidelake.session import cut
 from tidelake.sources.lake import LakeTable
 from tidelake.specs import EntitySpec
 
@@ -54,7 +55,7 @@ def start_apply(
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        good, bad = quarantine(typed_changes(batch, table.spec))
+        good, bad = quarantine(cut(typed_changes(batch, table.spec)))
         bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
         table.merge(good, now, batch=number)
 
