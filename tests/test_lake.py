@@ -218,12 +218,12 @@ def shop(spark, tmp_path):
         relations=[RelationSpec("user_favorite_products", {"userId": "User", "productId": "Product"})],
         queries=[
             QuerySpec(
-                "getUserFavoriteProducts",
+                "favouriteProducts",
                 """SELECT * FROM product p JOIN user_favorite_products ufp ON p.id = ufp.productId
                 WHERE ufp.userId = :userId ORDER BY p.id""",
                 {"userId": "String!"},
                 returns=ResponseSpec(
-                    "ProductTaskResponse",
+                    "ProductRow",
                     {"id": "ID!", "name": "String!", "brandId": "ID!", "price": "Float!",
                      "createdAt": "AWSDateTime!", "updatedAt": "AWSDateTime!"},
                 ),
@@ -247,7 +247,7 @@ def test_shop_end_to_end(spark, shop, tmp_path):
     again = shop.relate("user_favorite_products", batch, "2024-07-01T00:00:00Z")
     assert (again.inserted, again.repeats) == (0, 4)
 
-    shop.submit("getUserFavoriteProducts", "run-1", NOW, {"userId": uid["ann"]})
+    shop.submit("favouriteProducts", "run-1", NOW, {"userId": uid["ann"]})
     row, result = shop.result("run-1")
     assert row.taskStatus == "SUCCEEDED" and row.finishDate is not None
     assert {r.name for r in result.collect()} == {"pen", "cup", "hat"}
@@ -263,15 +263,15 @@ def test_shop_end_to_end(spark, shop, tmp_path):
 
     brand = shop.tables()["product"].filter("brandId = 'b2'").select(F.col("id").alias("productId"))
     shop.unrelate("user_favorite_products", other=brand, on=["productId"])
-    names = [r.name for r in shop.query("getUserFavoriteProducts", {"userId": uid["ann"]}).collect()]
+    names = [r.name for r in shop.query("favouriteProducts", {"userId": uid["ann"]}).collect()]
     assert names == ["pen"]
 
     assert shop.delete("Product", products.filter("name = 'pen'")).first().deleted
-    assert shop.query("getUserFavoriteProducts", {"userId": uid["ann"]}).count() == 0
+    assert shop.query("favouriteProducts", {"userId": uid["ann"]}).count() == 0
     assert shop.edges().count() == 0
 
     with pytest.raises(Exception):
-        shop.submit("getUserFavoriteProducts", "run-2", NOW, {})
+        shop.submit("favouriteProducts", "run-2", NOW, {})
     assert shop.result("run-2")[0].taskStatus == "FAILED"
 
 

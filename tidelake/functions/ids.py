@@ -33,6 +33,18 @@ def _member_texts(spec: RelationSpec, cols: Mapping[str, Column]) -> list[Column
     return texts
 
 
+def complete(spec: RelationSpec, cols: Mapping[str, Column] | None = None) -> Column:
+    """True where every member is given and not empty."""
+    given = cols or {c: F.col(c) for c in spec.members}
+    whole = F.lit(True)
+    for column in spec.members:
+        value = given[column]
+        whole = whole & value.isNotNull()
+        if spec.kinds.get(column, "String").rstrip("!") not in ("Int", "Float", "Boolean"):
+            whole = whole & (value.cast("string") != "")
+    return whole
+
+
 def relation_id(spec: RelationSpec, cols: Mapping[str, Column] | None = None) -> Column:
     """Id of one association: hash of ``table|type:value|type:value…``.
 
@@ -42,10 +54,7 @@ def relation_id(spec: RelationSpec, cols: Mapping[str, Column] | None = None) ->
     given = cols or {c: F.col(c) for c in spec.members}
     texts = {c: given[c].cast("string") for c in spec.members}
     whole = F.concat_ws("|", F.lit(spec.name), *_member_texts(spec, texts))
-    complete = F.lit(True)
-    for value in texts.values():
-        complete = complete & value.isNotNull() & (value != "")
-    return F.when(complete, F.substring(F.sha2(whole, 256), 1, 32))
+    return F.when(complete(spec, given), F.substring(F.sha2(whole, 256), 1, 32))
 
 
 def storage_key(spec: RelationSpec, created: Column, rid: Column) -> Column:

@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.functions.ids import relation_id, storage_key
+from tidelake.functions.ids import complete, relation_id, storage_key
 from tidelake.functions.parse import instant, typed
 from tidelake.session import cut
 from tidelake.specs import RelationSpec
@@ -86,23 +86,23 @@ def insert(
     batch: DataFrame,
     existing: DataFrame | None = None,
     now: datetime | str | Column | None = None,
-    reuse: bool = False,
+    reuse: bool = True,
 ) -> Inserted:
     """Insert if absent; the earliest of several repeats in a batch is kept.
 
     The stored table is only probed for the ids of the batch, one narrow column and no
     shuffle while those ids fit the broadcast threshold; the much smaller answer is
-    then taken out of the batch. ``reuse`` stores the reduced batch, which three of the
-    outputs need, and so makes its size known.
+    then taken out of the batch. ``reuse`` stores the reduced batch, which both outcomes
+    need, and so makes its size known.
     """
     members = _members(spec, batch, now)
-    complete = relation_id(spec).isNotNull()
-    first = _derived(spec, first_per_relation(spec, members.filter(complete)))
-    rejected = members.filter(~complete)
-    if reuse:
-        first = cut(first)
+    whole = complete(spec)
+    first = _derived(spec, first_per_relation(spec, members.filter(whole)))
+    rejected = members.filter(~whole)
     if existing is None:
         return Inserted(first, first.filter(F.lit(False)), rejected)
+    if reuse:
+        first = cut(first)
     present = existing.select(ID).join(first.select(ID), ID, "left_semi")
     return Inserted(
         first.join(present, ID, "left_anti"), first.join(present, ID, "left_semi"), rejected

@@ -13,6 +13,8 @@ from tidelake.functions.parse import instant
 RUNNING, SUCCEEDED, FAILED = "RUNNING", "SUCCEEDED", "FAILED"
 TERMINAL = ("SUCCEEDED", "FAILED", "CANCELLED")
 DELETION = "deletionTask"
+# Stands for "no time" in packed events: far before any timestamp, yet safe to multiply.
+_NO_TIME = -(1 << 60)
 RUN_COLUMNS = (
     "taskId",
     "taskType",
@@ -72,12 +74,28 @@ def map_status(state: Column) -> Column:
     )
 
 
-def last_terminal(events: DataFrame, order: tuple[str, ...] = ("ts", "currentState")) -> DataFrame:
-    """The last terminal event of each run; reduced before the shuffle."""
-    return (
-        terminal(events)
-        .groupBy(F.col("queryExecutionId").alias("taskId"))
-        .agg(F.max_by(F.struct("currentState", "ts"), F.struct(*order)).alias("_end"))
+def last_terminal(events: DataFrame) -> DataFrame:
+    """The last terminal event of each run, as (taskId, state, at).
+
+    Time and state are packed into one number, so its maximum is a hash aggregate that
+    shrinks the events before the shuffle without sorting them. Of several states at
+    one time the alphabetically last counts; an event without a time comes first.
+    """
+    ended = sorted(TERMINAL)
+    state = F.col("currentState")
+    rank = F.array_position(F.array(*[F.lit(s) for s in ended]), state) - 1
+    micros = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(_NO_TIME))
+    packed = terminal(events).select(
+        F.col("queryExecutionId").alias("taskId"), (micros * 4 + rank).alias("_packed")
+    )
+    last = packed.groupBy("taskId").agg(F.max("_packed").alias("_packed"))
+    time = F.shiftright("_packed", 2)
+    return last.select(
+        "taskId",
+        F.element_at(
+            F.array(*[F.lit(s) for s in ended]), (F.col("_packed").bitwiseAND(3) + 1).cast("int")
+        ).alias("state"),
+        F.when(time != _NO_TIME, F.timestamp_micros(time)).alias("at"),
     )
 
 
@@ -87,14 +105,13 @@ def run_state(runs: DataFrame, events: DataFrame, now: datetime | str | Column)
     Events of unknown runs change nothing. The finish date is the event's time, or
     ``now`` where it has none.
     """
-    ended = last_terminal(events)
-    hit = F.col("_end").isNotNull()
+    hit = F.col("state").isNotNull()
     return _with(
-        runs.join(ended, "taskId", "left"),
-        taskStatus=F.when(hit, map_status(F.col("_end.currentState"))).otherwise(F.col("taskStatus")),
-        finishDate=F.when(
-            hit, F.coalesce(F.col("_end.ts").cast("timestamp"), instant(now))
-        ).otherwise(F.col("finishDate")),
+        runs.join(last_terminal(events), "taskId", "left"),
+        taskStatus=F.when(hit, map_status(F.col("state"))).otherwise(F.col("taskStatus")),
+        finishDate=F.when(hit, F.coalesce(F.col("at"), instant(now))).otherwise(
+            F.col("finishDate")
+        ),
         updatedAt=F.when(hit, instant(now)).otherwise(F.col("updatedAt")),
     )
 

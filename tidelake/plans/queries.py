@@ -329,7 +329,12 @@ def sync_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("createdAt"),
         "l_linestatus",
     )
-    stored = relations.insert(fx.ORDER_PARTS, lines.filter("l_linestatus = 'F'")).rows
+    stored = fx.stored(
+        spark,
+        sf_dir,
+        "order-parts",
+        lambda: relations.insert(fx.ORDER_PARTS, lines.filter("l_linestatus = 'F'")).rows,
+    )
     return relations.insert_counts(
         relations.insert(fx.ORDER_PARTS, lines.filter("l_linestatus = 'O'"), stored)
     )

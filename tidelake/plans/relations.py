@@ -69,7 +69,12 @@ def relation_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("createdAt"),
         "l_linestatus",
     )
-    stored = ops.insert(fx.ORDER_PARTS, lines.filter("l_linestatus = 'F'")).rows
+    stored = fx.stored(
+        spark,
+        sf_dir,
+        "order-parts",
+        lambda: ops.insert(fx.ORDER_PARTS, lines.filter("l_linestatus = 'F'")).rows,
+    )
     done = ops.insert(fx.ORDER_PARTS, lines.filter("l_linestatus = 'O'"), stored)
     both = done.rows.withColumn("repeat", F.lit(False)).unionByName(
         done.repeats.withColumn("repeat", F.lit(True))

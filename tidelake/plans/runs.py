@@ -19,10 +19,7 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A poll that saw the last terminal event of every run that has one."""
-    ended = ops.last_terminal(fx.execution_events(spark, sf_dir))
-    return ended.select(
-        "taskId", F.col("_end.currentState").alias("state"), F.col("_end.ts").alias("changedAt")
-    )
+    return ops.last_terminal(fx.execution_events(spark, sf_dir)).withColumnRenamed("at", "changedAt")
 
 
 @query(
