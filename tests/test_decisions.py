@@ -428,3 +428,22 @@ def test_scan_of_nanosecond_files_with_narrow_types(spark, tmp_path):
     row = df.first()
     assert (row.id, row.n, row.x, row.missing, row.month) == ("1", 5, 0.5, None, "01")
     assert naive(spark, df, "createdAt") == [datetime(2024, 1, 2, 0, 0, 0, 123456)]
+
+
+def test_binary_and_sets(spark):
+    fields = [Field.of("b", "Binary"), Field.of("ss", "[String]"), Field.of("ns", "[Int]"), Field.of("t", "String")]
+    item = {"b": {"B": "aGk="}, "ss": {"SS": ["x", "y"]}, "ns": {"NS": ["1", "2"]}, "t": {"SS": ["z"]}}
+    row = ingest.enforce(ingest.decode(images(spark, item), fields), fields).first()
+    assert (bytes(row.b), row.ss, row.ns, row.t) == (b"hi", ["x", "y"], [1, 2], '["z"]')
+    assert row._cast_errors == []
+
+
+def test_text_members_deduplicate_with_and_without_separators(spark):
+    rel = RelationSpec("t", {"a": "A", "b": "B"})
+    early, late = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    rows = [("1", "2", late), ("1", "2", early), ("1|b:2", "3", late), ("1", "2|b:3", early), ("x", "y", late)]
+    batch = spark.createDataFrame(rows, "a string, b string, createdAt timestamp")
+    got = relations.insert(rel, batch).rows
+    assert sorted((r.a, r.b, r.createdAt) for r in got.collect()) == [
+        ("1", "2", early), ("1", "2|b:3", early), ("x", "y", late),
+    ]

@@ -96,6 +96,9 @@ def test_untouched_dates_keep_their_files(spark, tmp_path):
     table.merge(spark.createDataFrame([change("new", 1, 0, "INSERT", 10)], CHANGE), NOW)
     assert table.manifest().days[("2024", "01", "01")] == (1, 3)
     assert len(content(table)) == 5
+    some = table.scan(days=("2024-01-02", "2024-01-03"))
+    assert sorted(r.id for r in some.collect()) == ["1", "2"]
+    assert len(some.inputFiles()) == 2
 
 
 def test_removing_the_last_row_of_a_date_removes_the_date(spark, tmp_path):

@@ -58,6 +58,8 @@ def scalar_from_text(text: Column, kind: str) -> Column:
         return text.try_cast("boolean")
     if kind == "AWSDateTime":
         return iso_timestamp(text)
+    if kind == "Binary":
+        return F.try_to_binary(text, F.lit("base64"))
     return text
 
 

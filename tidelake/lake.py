@@ -56,9 +56,10 @@ class Lake:
             raise KeyError(f"no entity or relation {name!r}")
         return LakeTable(self.spark, f"{self.root}/tables/{key}", spec)
 
-    def tables(self) -> dict[str, DataFrame]:
-        """Every table by name, as statements see it."""
-        return {n: self.table(n).scan() for n in (*self.entities, *self.relations)}
+    def tables(self, sql: str | None = None) -> dict[str, DataFrame]:
+        """Every table by name, or only those whose name occurs in a statement."""
+        names = (*self.entities, *self.relations)
+        return {n: self.table(n).scan() for n in names if sql is None or n in sql.lower()}
 
     # -- entities ------------------------------------------------------------
 
@@ -166,7 +167,8 @@ class Lake:
 
     def query(self, name: str, args: Mapping[str, object] | None = None) -> DataFrame:
         """A declared query over the current tables, in its declared shape."""
-        return queries.run(self.spark, self.queries[name], args, self.tables())
+        declared = self.queries[name]
+        return queries.run(self.spark, declared, args, self.tables(declared.sql))
 
     def submit(
         self, name: str, run_id: str, now: Now, args: Mapping[str, object] | None = None

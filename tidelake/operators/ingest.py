@@ -13,11 +13,11 @@ from tidelake.functions.ids import legacy_key
 from tidelake.functions.parse import instant, iso_timestamp, lost_in_cast, names_where, typed
 from tidelake.specs import PARTITIONS, EntitySpec, Field, RelationSpec
 
-# One attribute-value record; below the first level lists and maps stay JSON text.
-MEMBER = "struct<S:string,N:string,BOOL:boolean,NULL:boolean,L:string,M:string>"
-ATTRIBUTE = (
-    f"struct<S:string,N:string,BOOL:boolean,NULL:boolean,L:array<{MEMBER}>,M:map<string,{MEMBER}>>"
-)
+# One attribute-value record. Sets stay JSON text, and so do lists and maps
+# below the first level.
+SCALARS_AND_SETS = "S:string,N:string,BOOL:boolean,NULL:boolean,B:string,SS:string,NS:string,BS:string"
+MEMBER = f"struct<{SCALARS_AND_SETS},L:string,M:string>"
+ATTRIBUTE = f"struct<{SCALARS_AND_SETS},L:array<{MEMBER}>,M:map<string,{MEMBER}>>"
 # Attribute names that control routing; decoded next to the declared fields.
 SYSTEM_FIELDS = (
     "PK",
@@ -32,23 +32,30 @@ REMOVE = "REMOVE"
 MAX_ATTRIBUTES = 5000
 
 
+def _scalar_text(a: Column) -> Column:
+    """Text of a scalar or set attribute."""
+    return F.coalesce(a.S, a.N, a.BOOL.cast("string"), a.B, a.SS, a.NS, a.BS)
+
+
 def _member_text(member: Column) -> Column:
     """Text of one list member or map value; what is nested deeper stays JSON."""
-    return F.coalesce(member.S, member.N, member.BOOL.cast("string"), member.L, member.M)
+    return F.coalesce(_scalar_text(member), member.L, member.M)
 
 
 def _members(attribute: Column) -> Column:
-    return F.transform(attribute.L, _member_text)
+    """A list or a set as an array of texts."""
+    whole_set = F.coalesce(attribute.SS, attribute.NS, attribute.BS)
+    return F.coalesce(
+        F.transform(attribute.L, _member_text), F.from_json(whole_set, "array<string>")
+    )
 
 
 def _plain_text(attribute: Column) -> Column:
     """Text of a whole attribute: scalars as they are, lists and maps as plain JSON."""
     nested = F.transform_values(attribute.M, lambda _, v: _member_text(v))
     return F.coalesce(
-        attribute.S,
-        attribute.N,
-        attribute.BOOL.cast("string"),
-        F.to_json(_members(attribute)),
+        _scalar_text(attribute),
+        F.to_json(F.transform(attribute.L, _member_text)),
         F.to_json(nested),
     )
 

@@ -8,6 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelake.functions.ids import complete, relation_id, storage_key
 from tidelake.functions.parse import instant, typed
@@ -67,16 +68,30 @@ def relation_rows(
 def first_per_relation(spec: RelationSpec, members: DataFrame) -> DataFrame:
     """The earliest row of each association, reduced before the shuffle.
 
-    Where the members alone tell associations apart they are the grouping key and only
-    a minimum is kept, so aggregation is by hash. Text members could spell one id in
-    two ways, and members of one type come in two orders: those group by the id.
+    Members tell associations apart as their id does, so they are the grouping key and
+    aggregation is by hash. Two cases need the id itself, and a sort: members of one
+    type, which come in two orders, and text with the id's separator in it, which could
+    spell one id in two ways.
     """
     names = list(spec.members)
-    numeric = all(f.kind in ("Int", "Boolean") for f in spec.fields if f.name in spec.members)
-    distinct_types = len(set(spec.members.values())) == len(names)
-    if numeric and (distinct_types or spec.directed):
-        return members.groupBy(*names).agg(F.min("createdAt").alias("createdAt"))
-    row = F.struct("createdAt", *names)
+    if len(set(spec.members.values())) < len(names) and not spec.directed:
+        return _first_by_id(spec, members)
+    ambiguous = F.lit(False)
+    for f in members.schema.fields:
+        if f.name in names and isinstance(f.dataType, T.StringType):
+            ambiguous = ambiguous | F.col(f.name).contains("|")
+
+    def by_members(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*names).agg(F.min("createdAt").alias("createdAt"))
+
+    if not any(isinstance(members.schema[n].dataType, T.StringType) for n in names):
+        return by_members(members)
+    rest = _first_by_id(spec, members.filter(ambiguous)).drop(ID)
+    return by_members(members.filter(~ambiguous)).unionByName(rest)
+
+
+def _first_by_id(spec: RelationSpec, members: DataFrame) -> DataFrame:
+    row = F.struct("createdAt", *spec.members)
     picked = members.groupBy(relation_id(spec).alias(ID)).agg(F.min(row).alias("_first"))
     return picked.select(ID, "_first.*")
 

@@ -32,17 +32,22 @@ from tidelake.specs import PARTITIONS
 Day = tuple[str, str, str]
 _MANIFEST = (
     "version bigint, batch bigint,"
-    " days array<struct<year:string,month:string,day:string,v:bigint>>"
+    " days array<struct<year:string,month:string,day:string,v:bigint>>,"
+    " sizes array<struct<v:bigint,days:bigint>>"
 )
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """Which version directories make up each live date, and the last numbered batch."""
+    """Which version directories make up each live date, and the last numbered batch.
+
+    ``sizes`` says how many dates each of those versions wrote.
+    """
 
     version: int
     batch: int
     days: dict[Day, tuple[int, ...]]
+    sizes: dict[int, int]
 
 
 class LakeTable:
@@ -69,20 +74,20 @@ class LakeTable:
         if version is None:
             version = max(self.versions(), default=0)
         if version == 0:
-            return Manifest(0, -1, {})
+            return Manifest(0, -1, {}, {})
         row = self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest/__v={version}").first()
         days: dict[Day, tuple[int, ...]] = {}
         for d in row.days:
             day = (d.year, d.month, d.day)
             days[day] = (*days.get(day, ()), d.v)
-        return Manifest(version, row.batch, days)
+        return Manifest(version, row.batch, days, {z.v: z.days for z in row.sizes})
 
     def _written(self, version: int) -> set[Day]:
         paths = self._glob(f"data/__v={version}/year=*/month=*/day=*")
         parts = [[piece.split("=")[-1] for piece in p.split("/")[-3:]] for p in paths]
         return {(y, m, d) for y, m, d in parts}
 
-    def _paths(self, days: dict[Day, tuple[int, ...]]) -> list[str]:
+    def _paths(self, base: Manifest, days: dict[Day, tuple[int, ...]]) -> list[str]:
         """Directories to read: a whole version where every date of it is wanted."""
         by_version: dict[int, set[Day]] = {}
         for day, versions in days.items():
@@ -91,7 +96,7 @@ class LakeTable:
         paths = []
         for v, wanted in sorted(by_version.items()):
             top = f"{self.root}/data/__v={v}"
-            if wanted == self._written(v):
+            if len(wanted) == base.sizes[v]:
                 paths.append(top)
             else:
                 paths += [f"{top}/year={y}/month={m}/day={d}" for y, m, d in sorted(wanted)]
@@ -99,20 +104,29 @@ class LakeTable:
 
     # -- reading -------------------------------------------------------------
 
-    def _read(self, days: dict[Day, tuple[int, ...]], **options) -> DataFrame:
+    def _read(self, base: Manifest, wanted: Callable[[Day], bool], **options) -> DataFrame:
+        days = {d: vs for d, vs in base.days.items() if wanted(d)}
         if not days:
             return empty_frame(self.spark, self.spec.schema())
-        base_path = f"{self.root}/data"
-        return scan(self.spark, self.spec, self._paths(days), base_path=base_path, **options)
+        paths = self._paths(base, days)
+        return scan(self.spark, self.spec, paths, base_path=f"{self.root}/data", **options)
 
     def scan(
         self,
         where: Column | str | None = None,
         years: tuple[int, int] | None = None,
         version: int | None = None,
+        days: tuple[str, str] | None = None,
     ) -> DataFrame:
-        """Live rows of one version with the declared columns."""
-        return self._read(self.manifest(version).days, where=where, years=years)
+        """Live rows of one version with the declared columns.
+
+        ``days`` is a first and last date as ``YYYY-MM-DD``. It picks directories from the
+        manifest, so a short range of a long table does not even list the rest.
+        """
+        first, last = days or ("", "~")
+        return self._read(
+            self.manifest(version), lambda d: first <= "-".join(d) <= last, where=where, years=years
+        )
 
     # -- writing -------------------------------------------------------------
 
@@ -124,8 +138,11 @@ class LakeTable:
         write_lake(rows, self.spec, f"{self.root}/data/__v={version}", mode="overwrite")
         dropped = set(replaced)
         days = {d: vs for d, vs in base.days.items() if d not in dropped}
-        for day in self._written(version):
+        written = self._written(version)
+        for day in written:
             days[day] = (*days.get(day, ()), version)
+        live = {v for vs in days.values() for v in vs}
+        sizes = {v: n for v, n in base.sizes.items() if v in live} | {version: len(written)}
         entry = {
             "version": version,
             "batch": base.batch if batch is None else batch,
@@ -134,6 +151,7 @@ class LakeTable:
                 for d, vs in sorted(days.items())
                 for v in vs
             ],
+            "sizes": [{"v": v, "days": n} for v, n in sizes.items()],
         }
         target = f"{self.root}/manifest/__v={version}"
         line = self.spark.range(1).select(F.lit(json.dumps(entry)).alias("value"))
@@ -151,7 +169,7 @@ class LakeTable:
         batch: int | None = None,
     ) -> int:
         """Publish ``change`` applied to the touched dates; other dates keep their files."""
-        old = self._read({d: base.days[d] for d in touched})
+        old = self._read(base, touched.__contains__)
         return self._publish(base, change(old), touched, batch)
 
     def _home(self, base: Manifest, keys: DataFrame) -> set[Day]:
@@ -159,7 +177,7 @@ class LakeTable:
 
         As many rows as the calendar has days reach the driver at most.
         """
-        current = self._read(base.days).select(self.spec.key, *PARTITIONS)
+        current = self._read(base, lambda day: True).select(self.spec.key, *PARTITIONS)
         hit = current.join(keys, self.spec.key, "left_semi")
         return {tuple(r) for r in hit.select(*PARTITIONS).distinct().collect()}
 
@@ -204,7 +222,7 @@ class LakeTable:
         touched = self._home(base, keys)
         if not touched:
             return keys
-        before = self._read({d: base.days[d] for d in touched}).select(self.spec.key)
+        before = self._read(base, touched.__contains__).select(self.spec.key)
         known = before.join(keys, self.spec.key, "left_semi")
         self._rewrite(base, touched, lambda old: patch(old, patches, self.spec, now, order)[0])
         return keys.join(known, self.spec.key, "left_anti")

@@ -15,6 +15,7 @@ SCALARS = {
     "Float": T.DoubleType(),
     "Boolean": T.BooleanType(),
     "AWSDateTime": T.TimestampType(),
+    "Binary": T.BinaryType(),
 }
 # Record keys and bookkeeping attributes that never become columns.
 INTERNAL = ("PK", "SK", "GSI1-PK", "GSI1-SK", "entityType", "entityId")
