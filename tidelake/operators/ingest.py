@@ -32,31 +32,31 @@ REMOVE = "REMOVE"
 MAX_ATTRIBUTES = 5000
 
 
-def _scalar_text(a: Column) -> Column:
+# The three below are SQL text: one parsed expression per field instead of dozens of
+# column calls, which would cost more than the job on a small batch.
+def _scalar_text(a: str) -> str:
     """Text of a scalar or set attribute."""
-    return F.coalesce(a.S, a.N, a.BOOL.cast("string"), a.B, a.SS, a.NS, a.BS)
+    return f"{a}.S, {a}.N, cast({a}.BOOL as string), {a}.B, {a}.SS, {a}.NS, {a}.BS"
 
 
-def _member_text(member: Column) -> Column:
+def _member_text(m: str) -> str:
     """Text of one list member or map value; what is nested deeper stays JSON."""
-    return F.coalesce(_scalar_text(member), member.L, member.M)
+    return f"coalesce({_scalar_text(m)}, {m}.L, {m}.M)"
 
 
-def _members(attribute: Column) -> Column:
+def _members(a: str) -> Column:
     """A list or a set as an array of texts."""
-    whole_set = F.coalesce(attribute.SS, attribute.NS, attribute.BS)
-    return F.coalesce(
-        F.transform(attribute.L, _member_text), F.from_json(whole_set, "array<string>")
+    return F.expr(
+        f"coalesce(transform({a}.L, m -> {_member_text('m')}),"
+        f" from_json(coalesce({a}.SS, {a}.NS, {a}.BS), 'array<string>'))"
     )
 
 
-def _plain_text(attribute: Column) -> Column:
+def _plain_text(a: str) -> Column:
     """Text of a whole attribute: scalars as they are, lists and maps as plain JSON."""
-    nested = F.transform_values(attribute.M, lambda _, v: _member_text(v))
-    return F.coalesce(
-        _scalar_text(attribute),
-        F.to_json(F.transform(attribute.L, _member_text)),
-        F.to_json(nested),
+    return F.expr(
+        f"coalesce({_scalar_text(a)}, to_json(transform({a}.L, m -> {_member_text('m')})),"
+        f" to_json(transform_values({a}.M, (k, m) -> {_member_text('m')})))"
     )
 
 
@@ -81,11 +81,10 @@ def decode(
     parsed = _parse(df, fields, image, cols)
     values = []
     for i, f in enumerate(fields):
-        attribute = F.col(f"_a{i}")
         if f.name in SYSTEM_FIELDS:
-            value = attribute.S
+            value = F.col(f"_a{i}.S")
         else:
-            value = _members(attribute) if f.is_list else _plain_text(attribute)
+            value = _members(f"_a{i}") if f.is_list else _plain_text(f"_a{i}")
         values.append(value.alias(f.name))
     named = []
     if presence:
@@ -100,10 +99,9 @@ def _parse(df: DataFrame, fields: list[Field], image: str, keep: list[str]) -> D
     ``inline`` keeps the optimizer from repeating ``from_json`` inside every later
     expression and filter that reads one of the attributes.
     """
-    attribute = T._parse_datatype_string(ATTRIBUTE)
-    wanted = T.StructType([T.StructField(f.name, attribute) for f in fields])
+    wanted = ",".join(f"`{f.name}`:{ATTRIBUTE}" for f in fields)
     names = [f"_a{i}" for i in range(len(fields))]
-    whole = F.array(F.from_json(F.col(image), wanted))
+    whole = F.array(F.from_json(F.col(image), f"struct<{wanted}>"))
     return df.select(*keep, F.inline(whole).alias(*names))
 
 
