@@ -13,11 +13,14 @@ from tidelake.functions.ids import legacy_key
 from tidelake.functions.parse import instant, iso_timestamp, lost_in_cast, names_where, typed
 from tidelake.specs import PARTITIONS, EntitySpec, Field, RelationSpec
 
-# One attribute-value record. Sets stay JSON text, and so do lists and maps
-# below the first level.
-SCALARS_AND_SETS = "S:string,N:string,BOOL:boolean,NULL:boolean,B:string,SS:string,NS:string,BS:string"
-MEMBER = f"struct<{SCALARS_AND_SETS},L:string,M:string>"
-ATTRIBUTE = f"struct<{SCALARS_AND_SETS},L:array<{MEMBER}>,M:map<string,{MEMBER}>>"
+# One attribute-value record. Sets, lists and maps below the first level
+# stay JSON text.
+SCALARS = "S:string,N:string,BOOL:boolean,NULL:boolean,B:string"
+MEMBER = f"struct<{SCALARS},SS:string,NS:string,BS:string,L:string,M:string>"
+ATTRIBUTE = (
+    f"struct<{SCALARS},SS:array<string>,NS:array<string>,BS:array<string>,"
+    f"L:array<{MEMBER}>,M:map<string,{MEMBER}>>"
+)
 # Attribute names that control routing; decoded next to the declared fields.
 SYSTEM_FIELDS = (
     "PK",
@@ -34,28 +37,25 @@ MAX_ATTRIBUTES = 5000
 
 # The three below are SQL text: one parsed expression per field instead of dozens of
 # column calls, which would cost more than the job on a small batch.
-def _scalar_text(a: str) -> str:
-    """Text of a scalar or set attribute."""
-    return f"{a}.S, {a}.N, cast({a}.BOOL as string), {a}.B, {a}.SS, {a}.NS, {a}.BS"
-
-
 def _member_text(m: str) -> str:
     """Text of one list member or map value; what is nested deeper stays JSON."""
-    return f"coalesce({_scalar_text(m)}, {m}.L, {m}.M)"
+    scalar = f"{m}.S, {m}.N, cast({m}.BOOL as string), {m}.B"
+    return f"coalesce({scalar}, {m}.SS, {m}.NS, {m}.BS, {m}.L, {m}.M)"
 
 
 def _members(a: str) -> Column:
     """A list or a set as an array of texts."""
     return F.expr(
-        f"coalesce(transform({a}.L, m -> {_member_text('m')}),"
-        f" from_json(coalesce({a}.SS, {a}.NS, {a}.BS), 'array<string>'))"
+        f"coalesce(transform({a}.L, m -> {_member_text('m')}), {a}.SS, {a}.NS, {a}.BS)"
     )
 
 
 def _plain_text(a: str) -> Column:
-    """Text of a whole attribute: scalars as they are, lists and maps as plain JSON."""
+    """Text of a whole attribute: scalars as they are; sets, lists and maps as plain JSON."""
     return F.expr(
-        f"coalesce({_scalar_text(a)}, to_json(transform({a}.L, m -> {_member_text('m')})),"
+        f"coalesce({a}.S, {a}.N, cast({a}.BOOL as string), {a}.B,"
+        f" to_json({a}.SS), to_json({a}.NS), to_json({a}.BS),"
+        f" to_json(transform({a}.L, m -> {_member_text('m')})),"
         f" to_json(transform_values({a}.M, (k, m) -> {_member_text('m')})))"
     )
 
