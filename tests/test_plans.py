@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tidelake.operators import queries
+from tidelake.plans import QUERIES
 from tidelake.plans import fixtures as fx
 from tidelake.sources import files
 
@@ -17,7 +18,7 @@ def plan(df):
     )
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pair_joins_no_python_no_global_window(spark, name):
     text = plan(entry_points.queries()[name](spark, SF))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas"):

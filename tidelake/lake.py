@@ -6,11 +6,19 @@ from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.operators import entities, queries, relations, runs
-from tidelake.operators.ingest import quarantine, relation_changes, typed_changes, with_route
+from tidelake.operators.entities import last_change
+from tidelake.operators.ingest import (
+    quarantine,
+    relation_changes,
+    split_required,
+    typed_changes,
+    with_route,
+)
 from tidelake.session import configure, cut
 from tidelake.sources.files import load_result, save_result
 from tidelake.sources.lake import LakeTable
@@ -106,40 +114,77 @@ class Lake:
             index = relations.edges(spec, table.scan())
             table.remove(relations.doomed_relations(deleted, index).select(relations.ID))
 
-    def apply(self, changes: DataFrame, now: Now, bad_path: str, batch: int | None = None) -> None:
+    def apply(
+        self,
+        changes: DataFrame,
+        now: Now,
+        bad_path: str,
+        batch: int | None = None,
+        source: str = "",
+    ) -> None:
         """Merge a batch of change records into all tables; bad rows go to ``bad_path``.
 
-        The batch is numbered per table, so one that comes again is applied once. A
-        removed entity takes its relations with it.
+        Bad rows are those with a cast error, without a required field, or of a table that
+        is not declared. The batch is numbered per table and source, so one that comes
+        again is applied once. An entity that the batch leaves removed takes its relations
+        with it, unless the batch was applied before.
         """
         # Routed and stored once; every table then reads and parses only its own part.
-        routed = cut(with_route(changes), "_route", "_table")
+        declared = [*self.entities, *self.relations]
+        # The folder names come from the declared tables, never from the records.
+        known = F.coalesce(F.col("_table").isin(*declared), F.lit(False))
+        named = with_route(changes).withColumn(
+            "_table", F.when(known, F.col("_table")).otherwise("_unknown")
+        )
+        routed = cut(named, "_route", "_table")
+        unknown = routed.filter(F.col("_table") == "_unknown")
+        unknown.write.mode("overwrite").parquet(f"{bad_path}/_unknown")
         gone = []
         for name, spec in self.entities.items():
-            good, bad = quarantine(cut(typed_changes(routed, spec)))
-            bad.write.mode("overwrite").parquet(f"{bad_path}/{name}")
-            self.table(name).merge(good, now, batch=batch)
-            gone.append(
-                good.filter(F.col("op") == "REMOVE").select(
-                    F.lit(name).alias("entityType"), F.col(spec.key).cast("string").alias("entityId")
+            good = self._accept(typed_changes(routed, spec), spec, f"{bad_path}/{name}")
+            if batch is None or not self.table(name).applied(source, batch):
+                last = last_change(good, spec.key).filter(F.col("op") == "REMOVE")
+                gone.append(
+                    cut(
+                        last.select(
+                            F.lit(name).alias("entityType"),
+                            F.col(spec.key).cast("string").alias("entityId"),
+                        )
+                    )
                 )
-            )
+            self.table(name).merge(good, now, batch=batch, source=source)
         for name, spec in self.relations.items():
-            good, bad = quarantine(cut(relation_changes(routed, spec)))
-            bad.write.mode("overwrite").parquet(f"{bad_path}/{name}")
-            self.table(name).merge(good, now, batch=batch)
+            good = self._accept(relation_changes(routed, spec), spec, f"{bad_path}/{name}")
+            self.table(name).merge(good, now, batch=batch, source=source)
         if gone and self.relations:
             self.cascade(cut(reduce(DataFrame.unionByName, gone).distinct()))
 
+    def _accept(
+        self, typed: DataFrame, spec: EntitySpec | RelationSpec, bad_path: str
+    ) -> DataFrame:
+        """The clean rows; the others are stored with what is wrong with them."""
+        clean, bad = quarantine(cut(typed))
+        whole, lacking = split_required(clean, spec)
+        bad.unionByName(lacking).write.mode("overwrite").parquet(bad_path)
+        return whole
+
     # -- relations -----------------------------------------------------------
 
-    def relate(self, relation: str, batch: DataFrame, now: Now) -> Row:
-        """Insert associations that are not there yet; returns the three counts."""
+    def relate(
+        self, relation: str, batch: DataFrame, now: Now, bad_path: str | None = None
+    ) -> Row:
+        """Insert associations that are not there yet; returns the three counts.
+
+        Rejected ones, whose members are incomplete, are stored at ``bad_path``.
+        """
         table = self.table(relation)
         done = relations.insert(table.spec, batch, table.scan(), now)
         rows = cut(done.rows)
+        rejected = cut(done.rejected)
+        if bad_path is not None:
+            rejected.write.mode("overwrite").parquet(bad_path)
         counts = Row(
-            inserted=rows.count(), repeats=done.repeats.count(), rejected=done.rejected.count()
+            inserted=rows.count(), repeats=done.repeats.count(), rejected=rejected.count()
         )
         table.append(rows, now)
         return counts
@@ -182,6 +227,7 @@ class Lake:
         )
         opened = runs.open_runs(request, now, self.runs.scan())
         self.runs.append(opened, now)
+        self._settle(now, request.select("taskId"))
         try:
             save_result(self.query(name, args), f"{self.root}/results", run_id)
         except Exception:
@@ -199,10 +245,30 @@ class Lake:
         self.track(event, now)
 
     def track(self, events: DataFrame, now: Now) -> None:
-        """Bring the run log up to date with execution events."""
-        ended = runs.last_terminal(events).select("taskId").distinct()
-        touched = self.runs.scan().join(ended, "taskId", "left_semi")
-        state = runs.run_state(touched.select(*runs.RUN_COLUMNS), events, now)
+        """Bring the run log up to date with execution events.
+
+        All terminal events are kept, so one that comes before its run, or after a later
+        one, has the same effect as in order.
+        """
+        ended = cut(runs.terminal(events).select("queryExecutionId", "currentState", "ts"))
+        ended.write.mode("append").parquet(self._events)
+        self._settle(now, ended.select(F.col("queryExecutionId").alias("taskId")).distinct())
+
+    @property
+    def _events(self) -> str:
+        return f"{self.root}/run_events"
+
+    def _settle(self, now: Now, ids: DataFrame) -> None:
+        """Reduce the kept events of some runs to their state."""
+        try:
+            events = self.spark.read.parquet(self._events)
+        except AnalysisException:  # no event yet
+            return
+        own = events.join(
+            ids.select(F.col("taskId").alias("queryExecutionId")), "queryExecutionId", "left_semi"
+        )
+        touched = self.runs.scan().join(runs.last_terminal(own), "taskId", "left_semi")
+        state = runs.run_state(touched.select(*runs.RUN_COLUMNS), own, now)
         closed = state.select(
             "*", F.lit("MODIFY").alias("op"), F.col("updatedAt").alias("ts"), F.lit(0).alias("seq")
         )

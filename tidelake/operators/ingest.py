@@ -31,8 +31,6 @@ SYSTEM_FIELDS = (
     "relationId",
 )
 REMOVE = "REMOVE"
-# A table with more undeclared columns than this is refused, not truncated.
-MAX_ATTRIBUTES = 5000
 
 
 # The three below are SQL text: one parsed expression per field instead of dozens of
@@ -146,12 +144,29 @@ def required_violations(df: DataFrame, spec: EntitySpec | RelationSpec) -> DataF
     return df.select(F.col(spec.key), missing.alias("missing")).filter(F.size("missing") > 0)
 
 
+def split_required(
+    df: DataFrame, spec: EntitySpec | RelationSpec
+) -> tuple[DataFrame, DataFrame]:
+    """Changes with all required fields, and the others with ``_cast_errors`` naming them.
+
+    A removal needs its key only, and the dates that writing sets are not asked for.
+    """
+    asked = [f for f in spec.fields if f.required and f.name not in ("createdAt", "updatedAt")]
+    missing = names_where([(f.name, F.col(f.name).isNull()) for f in asked])
+    marked = df.withColumn(
+        "_cast_errors",
+        F.when(F.col("op") == REMOVE, F.array().cast("array<string>")).otherwise(missing),
+    )
+    return quarantine(marked)
+
+
 def infer_fields(df: DataFrame, names: list[str] | None = None, image: str = "image") -> list[Field]:
     """Declared types for fields nobody declared, one decision per column.
 
     A column is a timestamp only when every given value is ISO text that parses; a
     number column is integral only when no value has a point. Everything mixed is text.
-    One row of counts per attribute name reaches the driver.
+    One row of counts per attribute name reaches the driver, as each becomes a column
+    there; pass ``names`` to have only those.
     """
     entries = df.select(F.explode(F.from_json(F.col(image), f"map<string,{ATTRIBUTE}>")))
     if names is not None:
@@ -167,11 +182,8 @@ def infer_fields(df: DataFrame, names: list[str] | None = None, image: str = "im
             F.count(a.BOOL).alias("flags"),
             F.count(a.L).alias("lists"),
         )
-        .limit(MAX_ATTRIBUTES + 1)
         .collect()
     )
-    if len(seen) > MAX_ATTRIBUTES:
-        raise ValueError("too many attribute names to be columns; pass the names to infer")
     counts = {r["key"]: r for r in seen}
     fields = []
     for name in names or sorted(counts):

@@ -14,8 +14,6 @@ from tidelake.operators.results import shape
 from tidelake.session import cut
 from tidelake.specs import QuerySpec
 
-# An offset page sorts offset + n rows into one task; deeper pages go by ``after``.
-MAX_OFFSET_ROWS = 100_000
 
 
 def check_args(args: Mapping[str, object]) -> dict[str, object]:
@@ -164,9 +162,20 @@ def left_counts(base: DataFrame, key: str, *branches: Branch) -> DataFrame:
 def agg_star(base: DataFrame, key: str, grouped: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     """``SELECT base.*, aggregates … GROUP BY base.key``: aggregate first, then join back.
 
-    ``grouped`` has one row per key; ``defaults`` fills the aggregates of keys it lacks.
+    ``grouped`` has one row per key; ``defaults`` fills the aggregates of keys it lacks. An
+    aggregate that is null for a key it has stays null, as in SQL.
     """
-    return base.join(grouped, key, "left").fillna(dict(defaults))
+    marked = grouped.withColumn("_grouped", F.lit(True))
+    lacking = F.col("_grouped").isNull()
+    filled = [
+        F.when(lacking, F.lit(defaults[c])).otherwise(F.col(f"_g.{c}")).alias(c)
+        if c in defaults
+        else F.col(f"_g.{c}")
+        for c in grouped.columns
+        if c != key
+    ]
+    joined = base.alias("_b").join(marked.alias("_g"), key, "left")
+    return joined.select(*[key if c == key else F.col(f"_b.{c}") for c in base.columns], *filled)
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -200,15 +209,26 @@ def page(
     """At most ``n`` rows in ``order``, (column, descending) pairs that form a total order.
 
     ``after`` holds the order columns of the last row already seen; the next page then
-    costs the same however deep it is. ``offset`` suits the first pages only.
+    costs the same however deep it is. An ``offset`` sorts the rows into ranges once, and
+    then only the ranges that the page touches.
     """
     if after is not None:
         if offset:
             raise ValueError("use either offset or after")
         df = df.filter(_later(order, after))
-    elif offset + n > MAX_OFFSET_ROWS:
-        raise ValueError("that deep an offset sorts too much into one task; continue with after")
-    sorted_df = df.orderBy(*[F.desc(c) if d else F.asc(c) for c, d in order])
+    by = [F.desc(c) if d else F.asc(c) for c, d in order]
+    if offset:
+        ranged = cut(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+        sizes = {r._range: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+        before, wanted = 0, []
+        for number in sorted(sizes):
+            if before < offset + n and before + sizes[number] > offset:
+                wanted.append((number, before))
+            before += sizes[number]
+        first = wanted[0][1] if wanted else before
+        df = ranged.filter(F.col("_range").isin(*[w for w, _ in wanted])).drop("_range")
+        offset -= first if wanted else 0
+    sorted_df = df.orderBy(*by)
     return (sorted_df.offset(offset) if offset else sorted_df).limit(n)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -52,7 +53,8 @@ def work_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not context.master.startswith("local"):
+        # local-cluster is several processes, and anything else several machines.
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         if context.applicationId not in _LOCAL_SCRATCH:
             _LOCAL_SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="tidelake-")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +58,7 @@ def scan_nanos(spark: SparkSession, spec: TableSpec, root: str) -> DataFrame:
         ]
     )
     df = spark.read.schema(on_disk).parquet(root)
-    micros = {c: F.timestamp_micros(F.floor(F.col(c) / F.lit(1000))) for c in stamps}
+    micros = {c: F.timestamp_micros(F.expr(f"(`{c}` - pmod(`{c}`, 1000)) div 1000")) for c in stamps}
     return df.select(*[micros[c].alias(c) if c in stamps else F.col(c) for c in df.columns])
 
 
@@ -83,9 +85,16 @@ def write_lake(df: DataFrame, spec: TableSpec, path: str, mode: str = "append")
     )
 
 
+def _result_path(root: str, run_id: str) -> str:
+    """The folder of a run; its id may not lead anywhere else."""
+    if not re.fullmatch("[A-Za-z0-9_-]+", run_id):
+        raise ValueError(f"a run id has letters, digits, _ and - only, not {run_id!r}")
+    return f"{root}/run_id={run_id}"
+
+
 def save_result(df: DataFrame, root: str, run_id: str) -> str:
     """Keep the result of one run under its id; a re-run replaces only its own."""
-    path = f"{root}/run_id={run_id}"
+    path = _result_path(root, run_id)
     df.write.mode("overwrite").parquet(path)
     return path
 
@@ -95,7 +104,7 @@ def load_result(spark: SparkSession, root: str, run_id: str, shape: ResponseSpec
     reader = spark.read
     if shape is not None:
         reader = reader.schema(T.StructType([f.struct_field() for f in shape.fields]))
-    return reader.parquet(f"{root}/run_id={run_id}")
+    return reader.parquet(_result_path(root, run_id))
 
 
 def narrow(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

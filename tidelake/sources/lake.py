@@ -4,21 +4,24 @@ Parquet has no delete or merge. A commit writes new rows, and rewrites only the
 that hold changed keys; then it publishes a manifest that says which versions make up
 each date::
 
-    root/data/__v=N/year=YYYY/month=MM/day=DD/*.parquet
-    root/manifest/__v=N/        one row: the live dates and where they are
+    root/data/__v=N-<attempt>/year=YYYY/month=MM/day=DD/*.parquet
+    root/manifest/v<N>.json     the live dates and which attempts' folders hold them
 
-A reader uses one manifest from start to end. A failed commit leaves files no manifest
-names. There is one writer per table; a second one that publishes the same version fails.
+Every attempt writes a folder of its own, and its manifest aside; publishing is one rename
+that fails if the version exists. So a losing writer or a crash leaves files that no
+manifest names, and neither harms what is published nor stands in the way of the next
+commit. A reader uses one manifest from start to end.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,24 +33,19 @@ from tidelake.sources.files import TableSpec, empty_frame, scan, write_lake
 from tidelake.specs import PARTITIONS
 
 Day = tuple[str, str, str]
-_MANIFEST = (
-    "version bigint, batch bigint,"
-    " days array<struct<year:string,month:string,day:string,v:bigint>>,"
-    " sizes array<struct<v:bigint,days:bigint>>"
-)
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """Which version directories make up each live date, and the last numbered batch.
+    """Which folders make up each live date, and the last numbered batch of each source.
 
-    ``sizes`` says how many dates each of those versions wrote.
+    ``sizes`` says how many dates each of those folders has.
     """
 
     version: int
-    batch: int
-    days: dict[Day, tuple[int, ...]]
-    sizes: dict[int, int]
+    batches: dict[str, int]
+    days: dict[Day, tuple[str, ...]]
+    sizes: dict[str, int]
 
 
 class LakeTable:
@@ -66,30 +64,62 @@ class LakeTable:
 
     def versions(self) -> list[int]:
         """Published versions, oldest first."""
-        done = self._glob("manifest/__v=*/_SUCCESS")
-        return sorted(int(p.split("/__v=")[-1].split("/")[0]) for p in done)
+        return sorted(int(p.split("/v")[-1][:-5]) for p in self._glob("manifest/v*.json"))
 
     def manifest(self, version: int | None = None) -> Manifest:
         """The given manifest, the newest one when left out."""
         if version is None:
             version = max(self.versions(), default=0)
         if version == 0:
-            return Manifest(0, -1, {}, {})
-        row = self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest/__v={version}").first()
-        days: dict[Day, tuple[int, ...]] = {}
-        for d in row.days:
-            day = (d.year, d.month, d.day)
-            days[day] = (*days.get(day, ()), d.v)
-        return Manifest(version, row.batch, days, {z.v: z.days for z in row.sizes})
-
-    def _written(self, version: int) -> set[Day]:
+            return Manifest(0, {}, {}, {})
+        path, fs = self._file(f"manifest/v{version:012d}.json")
+        stream = fs.open(path)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(
+                stream, "UTF-8"
+            )
+        finally:
+            stream.close()
+        entry = json.loads(text)
+        days = {tuple(day.split("-")): tuple(vs) for day, vs in entry["days"].items()}
+        return Manifest(version, entry["batches"], days, entry["sizes"])
+
+    def _file(self, name: str):
+        """A path below the root, and the file system it is on."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def _create(self, name: str, text: str) -> None:
+        """Put a whole file in place, unless there is one already: then RuntimeError."""
+        context = self.spark.sparkContext
+        aside, fs = self._file(f"manifest/_aside-{uuid.uuid4().hex}")
+        stream = fs.create(aside, False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        target = fs.makeQualified(self._file(name)[0])
+        files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            fs.getUri(), context._jsc.hadoopConfiguration()
+        )
+        rename = getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename")
+        try:  # a rename without options fails where the target exists
+            files.rename(
+                fs.makeQualified(aside), target, context._gateway.new_array(rename, 0)
+            )
+        except Py4JJavaError as taken:
+            fs.delete(aside, False)
+            raise RuntimeError(f"another writer published {name}") from taken
+
+    def _written(self, version: str) -> set[Day]:
         paths = self._glob(f"data/__v={version}/year=*/month=*/day=*")
         parts = [[piece.split("=")[-1] for piece in p.split("/")[-3:]] for p in paths]
         return {(y, m, d) for y, m, d in parts}
 
-    def _paths(self, base: Manifest, days: dict[Day, tuple[int, ...]]) -> list[str]:
-        """Directories to read: a whole version where every date of it is wanted."""
-        by_version: dict[int, set[Day]] = {}
+    def _paths(self, base: Manifest, days: dict[Day, tuple[str, ...]]) -> list[str]:
+        """Directories to read: a whole folder where every date of it is wanted."""
+        by_version: dict[str, set[Day]] = {}
         for day, versions in days.items():
             for v in versions:
                 by_version.setdefault(v, set()).add(day)
@@ -131,11 +161,16 @@ class LakeTable:
     # -- writing -------------------------------------------------------------
 
     def _publish(
-        self, base: Manifest, rows: DataFrame, replaced: Iterable[Day], batch: int | None = None
+        self,
+        base: Manifest,
+        rows: DataFrame,
+        replaced: Iterable[Day],
+        batch: tuple[str, int] | None = None,
     ) -> int:
         """Write ``rows`` as the next version; they replace some dates and extend the others."""
-        version = base.version + 1
-        write_lake(rows, self.spec, f"{self.root}/data/__v={version}", mode="overwrite")
+        number = base.version + 1
+        version = f"{number}-{uuid.uuid4().hex[:12]}"
+        write_lake(rows, self.spec, f"{self.root}/data/__v={version}", mode="errorifexists")
         dropped = set(replaced)
         days = {d: vs for d, vs in base.days.items() if d not in dropped}
         written = self._written(version)
@@ -144,29 +179,19 @@ class LakeTable:
         live = {v for vs in days.values() for v in vs}
         sizes = {v: n for v, n in base.sizes.items() if v in live} | {version: len(written)}
         entry = {
-            "version": version,
-            "batch": base.batch if batch is None else batch,
-            "days": [
-                dict(zip((*PARTITIONS, "v"), (*d, v), strict=True))
-                for d, vs in sorted(days.items())
-                for v in vs
-            ],
-            "sizes": [{"v": v, "days": n} for v, n in sizes.items()],
+            "batches": base.batches | (dict([batch]) if batch else {}),
+            "days": {"-".join(day): vs for day, vs in sorted(days.items())},
+            "sizes": sizes,
         }
-        target = f"{self.root}/manifest/__v={version}"
-        line = self.spark.range(1).select(F.lit(json.dumps(entry)).alias("value"))
-        try:
-            line.coalesce(1).write.mode("errorifexists").text(target)
-        except AnalysisException as taken:
-            raise RuntimeError(f"another writer published version {version}") from taken
-        return version
+        self._create(f"manifest/v{number:012d}.json", json.dumps(entry))
+        return number
 
     def _rewrite(
         self,
         base: Manifest,
         touched: set[Day],
         change: Callable[[DataFrame], DataFrame],
-        batch: int | None = None,
+        batch: tuple[str, int] | None = None,
     ) -> int:
         """Publish ``change`` applied to the touched dates; other dates keep their files."""
         old = self._read(base, touched.__contains__)
@@ -191,27 +216,36 @@ class LakeTable:
         now: datetime | str | Column,
         order: Iterable[str] = CHANGE_ORDER,
         batch: int | None = None,
+        source: str = "",
     ) -> int:
         """Apply typed changes: the last one per key wins, removals delete.
 
         A row found under another date than its new creation date moves. Applying the
-        same changes, or the same numbered batch, again changes nothing.
+        same changes, or the same numbered batch of a source, again changes nothing, and
+        a batch without changes publishes nothing. Batches must come in their order: what
+        is stored has no order columns to tell an older batch by.
         """
         base = self.manifest()
-        if batch is not None and batch <= base.batch:
+        if batch is not None and self.applied(source, batch, base):
             return base.version
         key = self.spec.key
         # Reduced to one row per changed key, stored once, used by two jobs.
         last = cut(with_partitions(last_change(changes, key, order), now))
+        if last.isEmpty():
+            return base.version
         alive = last.filter(F.col("op") != REMOVE).select(*self.spec.columns, *PARTITIONS)
         keys = last.select(key)
         return self._rewrite(
             base,
             self._home(base, keys),
             lambda old: old.join(keys, key, "left_anti").unionByName(alive),
-            batch,
+            None if batch is None else (source, batch),
         )
 
+    def applied(self, source: str, batch: int, base: Manifest | None = None) -> bool:
+        """Whether this table has that numbered batch, or a later one, of the source."""
+        return batch <= (base or self.manifest()).batches.get(source, -1)
+
     def patch(
         self, patches: DataFrame, now: datetime | str | Column | None = None, order=CHANGE_ORDER
     ) -> DataFrame:
@@ -246,18 +280,24 @@ class LakeTable:
         touched = {d for d in base.days if where(d)}
         return self._rewrite(base, touched, lambda old: old)
 
-    def vacuum(self, keep: int = 1) -> list[int]:
-        """Drop data versions that none of the last ``keep`` manifests uses."""
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Drop data folders that none of the last ``keep`` manifests uses.
+
+        Folders of versions after the newest manifest may be a commit under way and stay.
+        """
         kept = self.versions()[-keep:]
+        if not kept:
+            return []
         used = {v for n in kept for vs in self.manifest(n).days.values() for v in vs}
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         dropped = []
-        for folder, live in (("manifest", set(kept)), ("data", used)):
-            for text in self._glob(f"{folder}/__v=*"):
-                v = int(text.rsplit("=", 1)[-1])
-                if v not in live and v < kept[-1]:
-                    path = jvm.org.apache.hadoop.fs.Path(text)
-                    path.getFileSystem(conf).delete(path, True)
-                    dropped += [v] if folder == "data" else []
+        for text in self._glob("data/__v=*"):
+            v = text.rsplit("=", 1)[-1]
+            if v not in used and int(v.split("-")[0]) <= kept[-1]:
+                path, fs = self._file(f"data/__v={v}")
+                fs.delete(path, True)
+                dropped.append(v)
+        for n in self.versions():
+            if n < kept[0]:
+                path, fs = self._file(f"manifest/v{n:012d}.json")
+                fs.delete(path, False)
         return sorted(dropped)

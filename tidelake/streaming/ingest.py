@@ -50,14 +50,16 @@ def start_apply(
 ) -> StreamingQuery:
     """Merge each micro-batch into the table; bad rows go to ``bad_path``.
 
-    The table remembers the last batch number, so a batch that is delivered again after
-    a failure is applied once.
+    The table remembers the last batch number of each checkpoint, so a batch that is
+    delivered again after a failure is applied once, and a new stream starts from its own.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
+        # The checkpoint names its stream; another one, even in its place, has another id.
+        source = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]
         good, bad = quarantine(cut(typed_changes(batch, table.spec)))
         bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
-        table.merge(good, now, batch=number)
+        table.merge(good, now, batch=number, source=source)
 
     return (
         changes.writeStream.foreachBatch(apply)
