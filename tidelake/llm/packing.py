@@ -10,9 +10,11 @@ of the others are dealt anew to fewer shards, until one shard is left.
 
 from __future__ import annotations
 
+import gc
 import os
 import random
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ END_ID = 1
 SHARD_ITEMS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 4, 12
 #: A bin filled to this share is final.
 WELL_FILLED = 0.995
-CACHED = 400_000
+CACHED = 700_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 _TOKENIZERS: dict[str, _Words] = {}
 
@@ -50,14 +52,35 @@ class _Words(dict):
         self[""] = b""
 
     def learn(self, words: set[str]) -> None:
-        new = list(words - self.keys())
-        if len(self) + len(new) > CACHED:
+        """Encode what is not remembered yet, by the letters before a closing mark.
+
+        Letters and the marks after them are tokens of their own, and letters of a-z have
+        the tokens of their capitals, so these share one call of the tokenizer.
+        """
+        new = words - self.keys()
+        if len(self) + 2 * len(new) > CACHED:
             self.clear()
             self[""] = b""
-            new = list(words)
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for word, encoding in zip(new, found, strict=True):
-            self[word] = np.array(encoding.ids, "<u4").tobytes()
+            new = words
+        stems = {word: self._stem(word) for word in new}
+        ask = list(set(stems.values()) - self.keys())
+        found = self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)
+        for stem, encoding in zip(ask, found, strict=True):
+            self[stem] = array("I", encoding.ids).tobytes()
+        for word, stem in stems.items():
+            if word != stem:
+                left = word[len(stem) :]
+                if left and left not in self:
+                    ids = self.tokenizer.encode(left, add_special_tokens=False).ids
+                    self[left] = array("I", ids).tobytes()
+                self[word] = self[stem] + self[left]
+
+    @staticmethod
+    def _stem(word: str) -> str:
+        stem = word.rstrip(".,;:!?")
+        if not stem.isalpha():
+            return word
+        return stem.lower() if stem.isascii() else stem
 
 
 def _encoded(path: str, texts: list[str]) -> list[bytes]:
@@ -70,9 +93,11 @@ def _encoded(path: str, texts: list[str]) -> list[bytes]:
     for i, t in enumerate(texts):
         size += len(t)
         if size >= 4 << 20 or i == len(texts) - 1:
+            gc.disable()  # millions of small objects and no cycles
             parts = [t.replace("\n", " ").split(" ") for t in texts[begin : i + 1]]
             words.learn(set().union(*parts))
             out += [b"".join(map(words.__getitem__, p)) for p in parts]
+            gc.enable()
             begin, size = i + 1, 0
     return out
 
