@@ -33,6 +33,8 @@ from tidelake.session import cut, new_dir
 
 #: Captures in a block at least, and blocks at most: the directory stays small at any size.
 BLOCK_LINES, BLOCKS = 3000, 65_536
+#: Records that a task reads, about.
+READ_ROWS = 50_000
 #: Payloads of fewer bytes are never replaced by a revisit.
 REVISIT_BYTES = 0
 _CAPTURES = "row long, page_id long, url string, surt string, file string, offset long, length long"
@@ -111,7 +113,7 @@ def _record(row: dict) -> bytes:
         payload = b""
     headers.append(("Content-Length", str(len(payload))))
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n"
-    return gzip.compress(head.encode() + payload + b"\r\n\r\n", 4, mtime=0)
+    return gzip.compress(head.encode() + payload + b"\r\n\r\n", 6, mtime=0)
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
@@ -137,11 +139,13 @@ def classify(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")
     )
     payload = F.coalesce("html", F.lit(""))
-    numbered = cut(
-        rows.withColumn("row", F.monotonically_increasing_id()).withColumns(
-            {"hash": F.sha2(payload, 256), "size": F.octet_length(payload)}
-        )
+    numbered = rows.withColumn("row", F.monotonically_increasing_id()).withColumns(
+        {"hash": F.sha2(payload, 256), "size": F.octet_length(payload)}
     )
+    # Stored, so that rows keep their numbers; in a tight encoding, as it is all payloads.
+    path = new_dir(pages.sparkSession, "pages")
+    numbered.write.option("compression", "zstd").parquet(path)
+    numbered = pages.sparkSession.read.schema(numbered.schema).parquet(path)
     last = (
         numbered.filter(F.col("size") >= least)
         .groupBy("hash")
@@ -276,6 +280,11 @@ class Index:
         return [parse(reader.read(*x[2:])) for x in self.captures(url_key)]
 
 
+def _tasks(rows: DataFrame) -> int:
+    """Tasks for reading records: their rows are narrow, but what they stand for is not."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // READ_ROWS)
+
+
 _LOCATED = "row long, file string, offset long, length long"
 
 
@@ -302,7 +311,7 @@ def locate(keys: DataFrame, index: Index) -> DataFrame:
                 yield _batch(rows, _LOCATED)
 
     # Neighbours in the index are looked up together, so each block is read about once.
-    near = keys.select("surt", "row").repartitionByRange("surt", "row")
+    near = keys.select("surt", "row").repartitionByRange(_tasks(keys), "surt", "row")
     return near.sortWithinPartitions("surt", "row").mapInArrow(run, _LOCATED)
 
 
@@ -343,7 +352,8 @@ def read_back(located: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield _batch(rows, _READ)
 
-    near = located.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    near = located.repartitionByRange(_tasks(located), "file", "offset")
+    near = near.sortWithinPartitions("file", "offset")
     return near.mapInArrow(run, _READ)
 
 
@@ -357,7 +367,7 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or new_dir(spark, "warc")
     captures = write(pages, folder)
     index = Index.load(folder, write_index(captures, folder))
-    read = cut(read_back(locate(captures, index), folder))
+    read = cut(read_back(cut(locate(captures, index)), folder))
     own = read.filter("record_type = 'response'")
     seen = own.select(
         F.col("row").alias("to_row"),
