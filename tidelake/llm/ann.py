@@ -27,7 +27,7 @@ from tidelake.session import cut
 
 #: Vectors the tree is fitted to, children of a node, sample vectors in a leaf, and the
 #: number of queries that the visits are calibrated with.
-SAMPLE, BRANCHES, LEAF, PROBES = 32_768, 8, 64, 64
+SAMPLE, BRANCHES, LEAF, PROBES = 8192, 8, 32, 64
 RECALL, BLOCK_ROWS, QUERY_ROWS = 0.97, 4096, 256
 
 
@@ -203,12 +203,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = R
     longest = rows.agg(
         F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     ).first()[0]
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
-    if not sample:
+    ordered = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    sample = ordered.select("vector").toArrow().column("vector").combine_chunks()
+    if not len(sample):
         return vectors.sparkSession.createDataFrame(
             [], "query_id long, rank int, vec_id long, score double"
         )
-    points = _matrix([r.vector for r in sample])
+    points = sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1)
     tree = Tree(longest=float(np.sqrt(longest)))
     tree = Tree.fit(tree.lift(points), tree.longest)
     leaves = len(tree.leaf_of)
@@ -272,7 +273,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = R
         packed = packed.select(
             "leaf", *(F.col(c).alias("q_" + c) for c in ("part", "n", "ids", "data"))
         )
-        pairs = packed.join(blocks, "leaf").repartition("leaf", "part", "q_part")
+        pairs = packed.join(blocks.hint("merge"), "leaf").repartition("leaf", "part", "q_part")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -305,7 +306,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = R
     hits = search(asked, visits)
     found = cut(hits.groupBy("number").agg(F.collect_list(F.struct("n", "vec_id", "score")).alias("hits")))
     query_rows = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector")
-    own = query_rows.join(asked, "vector").join(found, "number")
+    own = query_rows.join(asked.hint("merge"), "vector").join(found.hint("merge"), "number")
     others = F.sort_array(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")))
     listed = own.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "hit"))
     return listed.select(
