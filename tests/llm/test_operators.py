@@ -376,8 +376,9 @@ def brute_fingerprint(text, width):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_groups(prints, radius):
+def brute_groups(prints, radius, near=None):
     """Smallest id reachable, by id."""
+    near = near or (lambda a, b: (prints[a] ^ prints[b]).bit_count() <= radius)
     ids = sorted(prints)
     group = {i: i for i in ids}
 
@@ -388,7 +389,7 @@ def brute_groups(prints, radius):
 
     for a in ids:
         for b in ids:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= radius:
+            if a < b and near(a, b):
                 x, y = sorted((root(a), root(b)))
                 group[y] = x
     return {i: root(i) for i in ids}
@@ -414,6 +415,67 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.near_duplicates(none).collect() == []
 
 
+def shingles_of(text, width=5):
+    words = [w.decode() for w in words_of(text, lower=True)]
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b)
+
+
+def brute_copies(rows):
+    """Groups by the definition of ``near_copies``, pair by pair."""
+    bits = {i: int(simhash._majority(t, 2, once=True)[0]) & (1 << 64) - 1 for i, t in rows}
+    long = {i: int.from_bytes(simhash._majority(t, 5, 3, once=True).tobytes()) for i, t in rows}
+    first = {}
+    for i in sorted(bits):
+        first.setdefault(bits[i], i)
+    nodes = {i: b for b, i in first.items()}
+    groups = brute_groups(
+        nodes,
+        9,
+        lambda a, b: (bits[a] ^ bits[b]).bit_count() <= 9 and (long[a] ^ long[b]).bit_count() <= 36,
+    )
+    return {i: groups[first[b]] for i, b in bits.items()}
+
+
+def test_near_copies(spark, documents):
+    """Edited texts of similarity 0.8 are found, by the definition and by their shingles."""
+    rng = random.Random(8)
+    rows, pairs = list(documents), []
+    for i, t in documents:
+        words = (t or "").split()
+        for n in (1, 2, 3):
+            edited = list(words)
+            for at in rng.sample(range(len(words)), min(len(words), len(words) // (35 * n))):
+                edited[at] = f"edit{rng.getrandbits(30)}"
+            text = " ".join(edited)
+            if edited != words and alike(shingles_of(t), shingles_of(text)) >= 0.8:
+                pairs.append((i, 10_000_000 * n + i))
+                rows.append((10_000_000 * n + i, text))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
+    assert got == brute_copies(rows)
+    assert len(pairs) > 100
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+    texts = dict(rows)
+    for i, group in got.items():
+        if i != group and i < 10_000_000:  # whatever goes is like another one of its group
+            own = shingles_of(texts[i])
+            assert max(alike(own, shingles_of(texts[j])) for j in got if j != i and got[j] == group) > 0.6
+
+
+def test_near_copies_odd_rows(odd, none):
+    rows = [(i, t) for i, t in ODD if i is not None]
+    groups = brute_copies(rows)
+    got = simhash.near_copies(odd).collect()
+    assert len(got) == len(ODD)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == groups
+    assert groups[1] == groups[2] == groups[3] == 1 and groups[6] == groups[11]
+    assert simhash.near_copies(none).collect() == []
+
+
 @pytest.mark.parametrize("bucket", [16_384, 8])
 def test_covering_finds_every_link(spark, bucket):
     rng = random.Random(4)
@@ -441,6 +503,15 @@ def test_masks_cover_every_small_difference():
         assert any(not m & gone for m in masks)
 
 
+def test_masks_of_two_parts_cover_nine():
+    masks = [m & (1 << 64) - 1 for m in simhash.masks(9, 0, 2)]
+    assert len(masks) == len(set(masks)) == 62
+    rng = random.Random(6)
+    for _ in range(3000):
+        gone = sum(1 << b for b in rng.sample(range(64), 9))
+        assert any(not m & gone for m in masks)
+
+
 # ---------------------------------------------------------------- 9
 
 
@@ -580,8 +651,7 @@ def test_pipeline_stages(spark):
 
     apart = corpus_pipeline.cut(stages["near_duplicates"](spark, clean, folder))
     rows = [(r.doc_id, r.text) for r in clean.collect()]
-    prints = {i: brute_fingerprint(t, corpus_pipeline.SHINGLE) for i, t in rows}
-    assert {r.doc_id for r in apart.collect()} == set(brute_groups(prints, 3).values())
+    assert {r.doc_id for r in apart.collect()} == set(brute_copies(rows).values())
 
     once = corpus_pipeline.cut(stages["repeated_passages"](spark, apart, folder))
     assert once.columns == docs.columns
