@@ -36,7 +36,7 @@ BUCKET = 16_384
 #: check fingerprint, radius and parts of the first, words and radius of the second. Shingle
 #: sets of similarity 0.8 differ in 29 of 192 bits on average, those of 0.6 in 44.
 PAIR, COPY_SHINGLE = 2, 5
-COPY_RADIUS, PARTS = 9, 2
+COPY_RADIUS, PARTS, COPY_BUCKET = 9, 2, 65_536
 CHECK_WORDS, CHECK_RADIUS = 3, 36
 _BITS = 64
 _STEP = 1 << 16
@@ -296,7 +296,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     least = F.min(F.struct("doc_id", "check")).alias("m")
     nodes = rows.filter("doc_id is not null").groupBy("bits").agg(least)
     nodes = cut(nodes.select("bits", F.col("m.doc_id").alias("node"), F.col("m.check").alias("check")))
-    found = components(links(nodes, COPY_RADIUS, parts=PARTS))
+    found = components(links(nodes, COPY_RADIUS, COPY_BUCKET, PARTS))
     groups = nodes.join(found, "node", "left").select(
         "bits", F.coalesce("component", "node").alias("component_id")
     )
