@@ -453,3 +453,34 @@ def test_thousands_of_undeclared_names(spark):
     df = spark.createDataFrame([(image,)], "image string")
     fields = ingest.infer_fields(df)
     assert len(fields) == 6000 and {f.kind for f in fields} == {"Int"}
+
+
+def test_deletion_is_a_run(spark, tmp_path):
+    lake = Lake(
+        spark,
+        str(tmp_path / "lake"),
+        relations=[RelationSpec("loans", {"readerId": "Reader", "bookId": "Book"})],
+    )
+    pairs = [("1", "7"), ("1", "8"), ("2", "7")]
+    lake.relate("loans", spark.createDataFrame(pairs, "readerId string, bookId string"), NOW)
+    lake.submit_deletion("loans", "gone-1", NOW, where="bookId = '7'")
+    row, removed = lake.result("gone-1")
+    assert (row.taskStatus, row.taskType, removed.count()) == ("SUCCEEDED", "deletionTask", 2)
+    assert [(r.readerId, r.bookId) for r in lake.table("loans").scan().collect()] == [("1", "8")]
+    # A run that comes again keeps its targets and removes what is due by then.
+    lake.submit_deletion("loans", "gone-1", NOW, where="bookId = '7'")
+    assert lake.result("gone-1")[1].count() == 2
+    with pytest.raises(Exception):
+        lake.submit_deletion("loans", "gone-2", NOW, where="no_such_column = 1")
+    assert lake.result("gone-2")[0].taskStatus == "FAILED"
+    assert lake.table("loans").scan().count() == 1
+
+
+def test_declared_dates_as_iso_text(spark):
+    asked = QuerySpec(
+        "opened",
+        "SELECT timestamp '2024-05-05 10:00:00' AS openedAt",
+        returns=ResponseSpec("Shop", {"openedAt": "AWSDateTime!"}),
+        iso_dates=True,
+    )
+    assert queries.run(spark, asked).first().openedAt == "2024-05-05T10:00:00.000Z"

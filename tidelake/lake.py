@@ -236,6 +236,44 @@ class Lake:
         self._close(run_id, runs.SUCCEEDED, now)
         return run_id
 
+    def submit_deletion(
+        self,
+        relation: str,
+        run_id: str,
+        now: Now,
+        where: Column | str | None = None,
+        other: DataFrame | None = None,
+        on: Column | list[str] | None = None,
+    ) -> str:
+        """Delete the associations that ``unrelate`` would as a task: open the run, store
+        its targets as its result, remove them, close the run.
+
+        A run that failed half-way can come again: it removes its stored targets and what
+        the condition selects by then. A failing one is closed as FAILED and raises.
+        """
+        request = self.spark.range(1).select(
+            F.lit(run_id).alias("taskId"),
+            F.lit(runs.DELETION).alias("taskType"),
+            F.lit(relation).alias("mutationName"),
+        )
+        self.runs.append(runs.open_runs(request, now, self.runs.scan()), now)
+        self._settle(now, request.select("taskId"))
+        table, results = self.table(relation), f"{self.root}/results"
+        try:
+            due = relations.delete_targets(table.scan(), where, other, on)
+            due = due.filter(F.col("s3Key").isNotNull()).select("relationId")
+            try:
+                due = due.unionByName(load_result(self.spark, results, run_id)).distinct()
+            except AnalysisException:  # its first attempt
+                pass
+            save_result(cut(due), results, run_id)
+            table.remove(load_result(self.spark, results, run_id))
+        except Exception:
+            self._close(run_id, runs.FAILED, now)
+            raise
+        self._close(run_id, runs.SUCCEEDED, now)
+        return run_id
+
     def _close(self, run_id: str, state: str, now: Now) -> None:
         event = self.spark.range(1).select(
             F.lit(run_id).alias("queryExecutionId"),
@@ -275,11 +313,15 @@ class Lake:
         self.runs.merge(closed, now)
 
     def result(self, run_id: str) -> tuple[Row, DataFrame | None]:
-        """Status row of a run and, once it succeeded, its result."""
+        """Status row of a run and, once it succeeded, its result.
+
+        That of a deletion is the ids of what it removed.
+        """
         row = self.runs.scan().filter(F.col("taskId") == run_id).select(*runs.RUN_COLUMNS).first()
         if row is None:
             raise LookupError(f"no run {run_id!r}")
         if row.taskStatus != runs.SUCCEEDED:
             return row, None
-        shape = self.queries[row.mutationName].returns if row.mutationName in self.queries else None
+        asked = None if row.taskType == runs.DELETION else self.queries.get(row.mutationName)
+        shape = asked.returns if asked else None
         return row, load_result(self.spark, f"{self.root}/results", run_id, shape)

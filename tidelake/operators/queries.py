@@ -88,7 +88,7 @@ def run(
     """A declared query: arguments resolved and bound, result in its declared shape."""
     df = bound(spark, query.sql, resolve_args(query, args or {}), tables)
     if query.returns is not None:
-        df = shape(df, query.returns)
+        df = shape(df, query.returns, iso_dates=query.iso_dates)
     return df if query.is_list else df.limit(1)
 
 

@@ -85,7 +85,6 @@ def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         fx.table(spark, sf_dir, "events")
-        .filter(kind.isin("view", "click", "purchase"))
         .select(
             F.col("user_id").alias("id"),
             "value",
@@ -112,7 +111,7 @@ def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLDED = """folded as (select user_id,
     arg_max(value,(ts,event_id)) filter (event_type in ('view','purchase')) as value,
     arg_max(props,(ts,event_id)) filter (event_type in ('click','purchase')) as props,
-    max(ts) as updated_at from events where event_type in ('view','click','purchase') group by 1)"""
+    max(ts) as updated_at from events group by 1)"""
 
 
 @query(

@@ -94,6 +94,7 @@ RUNS = (
     " case when o_orderpriority = '1-URGENT' then 'deletionTask' end as task_type"
     " from orders where o_orderstatus <> 'O')"
 )
+ALL_RUNS = RUNS.replace(" where o_orderstatus <> 'O'", "")
 EXEC = (
     "ex as (select cast(l_orderkey as varchar) as task_id, l_shipdate as ts,"
     " case when l_returnflag = 'A' then 'SUCCEEDED'"
@@ -249,8 +250,11 @@ def encoded_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def run_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'O'")
+def run_requests(spark: SparkSession, sf_dir: str, unsent: bool = False) -> DataFrame:
+    """A request for each order; those of open ones are ``unsent``, so their events are of
+    unknown runs."""
+    orders = table(spark, sf_dir, "orders")
+    orders = orders if unsent else orders.filter("o_orderstatus <> 'O'")
     return orders.select(
         F.col("o_orderkey").cast("string").alias("taskId"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "deletionTask").alias("taskType"),

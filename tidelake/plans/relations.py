@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions.ids import legacy_key, relation_id
+from tidelake.lake import Lake
 from tidelake.operators import relations as ops
 from tidelake.plans import fixtures as fx
 from tidelake.plans.registry import query
+from tidelake.session import new_dir
 
 _REL = f"rel as (select *, {fx.RID} as rid from cp)"
 _EDGES = """edges as (select 'customer' as et, cast(o_custkey as varchar) as eid, rid, created from rel
@@ -205,6 +209,35 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _remaining(left["customer_parts"], index)
 
 
+@query(
+    "deletion_task",
+    f"""with {fx.CP}, {_REL}, gone as (select rid from rel where {_BRAND_SQL})
+    select 'SUCCEEDED' as status, 'removed' as kind, rid from gone
+    union all select 'SUCCEEDED', 'kept', rid from rel where rid not in (select rid from gone)""",
+)
+def deletion_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The associations with one brand are deleted by a run, whose result names them."""
+    lake = Lake(spark, new_dir(spark, "deletion"), relations=[fx.CUSTOMER_PARTS])
+    pairs = fx.customer_parts(spark, sf_dir).select("customerId", "partId")
+    lake.relate("customer_parts", pairs, fx.NOW)
+    run_id = lake.submit_deletion(
+        "customer_parts", "run-1", fx.NOW, other=_brand(spark, sf_dir), on=["partId"]
+    )
+    run, removed = lake.result(run_id)
+    kept = lake.table("customer_parts").scan()
+    return reduce(
+        DataFrame.unionByName,
+        (
+            rows.select(
+                F.lit(run.taskStatus).alias("status"),
+                F.lit(kind).alias("kind"),
+                F.col("relationId").alias("rid"),
+            )
+            for kind, rows in (("removed", removed), ("kept", kept))
+        ),
+    )
+
+
 _TRIPLE_SQL = """t as (select l_orderkey, l_partkey, l_suppkey, min(l_shipdate) as created
     from lineitem group by 1, 2, 3), r as (select *, substr(sha256('order_part_supplier|order:'||l_orderkey
     ||'|part:'||l_partkey||'|supplier:'||l_suppkey),1,32) as rid from t)"""

@@ -24,14 +24,14 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "run_open",
-    f"""with {fx.RUNS} select task_id as "taskId", task_type as "taskType",
+    f"""with {fx.ALL_RUNS} select task_id as "taskId", task_type as "taskType",
       cast(null as varchar) as "mutationName", 'RUNNING' as "taskStatus",
       timestamp '2024-06-01' as "startDate", cast(null as timestamp) as "finishDate",
       timestamp '2024-06-01' as "createdAt", timestamp '2024-06-01' as "updatedAt" from runs""",
 )
 def run_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every request arrives twice; the runs of the first delivery exist already."""
-    requests = fx.run_requests(spark, sf_dir)
+    requests = fx.run_requests(spark, sf_dir, unsent=True)
     first = ops.open_runs(requests.filter("taskType is null"), fx.NOW)
     rest = ops.open_runs(requests.unionByName(requests), fx.NOW, existing=first)
     stamps = ("startDate", "finishDate", "createdAt", "updatedAt")

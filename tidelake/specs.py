@@ -162,7 +162,8 @@ class QuerySpec:
     """A named SQL statement with ``:name`` markers.
 
     ``params`` maps each argument to its declared type; ``defaults`` holds values
-    for the ones a caller may leave out.
+    for the ones a caller may leave out. ``iso_dates`` returns the declared datetimes as
+    ISO 8601 text.
     """
 
     name: str
@@ -171,6 +172,7 @@ class QuerySpec:
     defaults: Mapping[str, object] = field(default_factory=dict)
     returns: ResponseSpec | None = None
     is_list: bool = True
+    iso_dates: bool = False
 
     @property
     def arguments(self) -> tuple[Field, ...]:
