@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from tests.llm.test_operators import alike, brute_groups, shingles_of
 from tidelake.llm import jaccard
@@ -77,6 +79,22 @@ def test_groups_are_those_of_all_pairs(spark):
     assert groups_of(spark, rows) == brute_groups({i: 0 for i, _ in rows}, 0, near)
 
 
+def test_no_copy_of_the_band_is_missed(spark):
+    pairs = texts_between(0.8, 0.85, 150, 3)
+    rows = list(enumerate(t for pair in pairs for t in pair))
+    got = groups_of(spark, rows)
+    assert [got[2 * i] == got[2 * i + 1] for i in range(len(pairs))] == [True] * len(pairs)
+
+
+@pytest.mark.parametrize("dealings", [1, 8])
+def test_parts_without_shingles_lose_no_pair(monkeypatch, dealings):
+    monkeypatch.setattr(jaccard, "DEALINGS", dealings)
+    for a, b in texts_between(0.8, 1, 150, 4):
+        value, doc = jaccard.shingles([a.encode(), b.encode()])
+        signed, owner = jaccard.signatures(value, doc, 2)
+        assert set(signed[owner == 0].tolist()) & set(signed[owner == 1].tolist())
+
+
 def test_near_duplicate_stage_on_documents(spark):
     """What the stage leaves of the documents is one of each group by true similarity."""
     frame = ready(spark).read.parquet("/root/testdata/sf0.01/documents.parquet")
