@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import alike, brute_groups, shingles_of
+from tests.llm.test_operators import alike, brute_groups, brute_removal, shingles_of
 from tidelake.llm import jaccard
 from tidelake.llm.workers import ready
 
@@ -95,6 +95,20 @@ def test_parts_without_shingles_lose_no_pair(monkeypatch, dealings):
         assert set(signed[owner == 0].tolist()) & set(signed[owner == 1].tolist())
 
 
+def test_stages_judge_rows_of_one_id_apart(spark):
+    """Repeated ids: each row keeps, loses or goes by its own text, and none is doubled."""
+    passage = " ".join(f"p{i}" for i in range(70))
+    own = " ".join(f"own{i}" for i in range(30))
+    rows = [(1, passage)] + [(5, f"head {passage} tail")] * 3 + [(5, own), (6, passage), (6, own + " x")]
+    want = Counter({(1, passage): 1, (5, "head tail"): 3, (5, own): 1, (6, own + " x"): 1})
+    assert stage_rows(spark, rows, "repeated_passages") == want
+    brute = {(i, kept): n for (i, _, _, kept), n in brute_removal(rows, 50).items() if kept}
+    assert want == brute
+    rows = [(1, passage), (5, passage + " more"), (5, own), (6, own), (6, passage + " x"), (7, "a b")] + [(None, own)] * 2
+    want = Counter({(1, passage): 1, (5, own): 1, (7, "a b"): 1, (None, own): 2})
+    assert stage_rows(spark, rows, "near_duplicates") == want
+
+
 def test_near_duplicate_stage_on_documents(spark):
     """What the stage leaves of the documents is one of each group by true similarity."""
     frame = ready(spark).read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -108,9 +108,12 @@ def _candidates(table: pa.Table, got: dict, width: int, shards: int, slots: int)
     return words, at, doc, group, hi[begin], lo[begin], least, own
 
 
-def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove(docs: DataFrame, width: int = WIDTH, row_key: str | None = None) -> DataFrame:
     """``doc_id, n_words, n_removed, text`` of every row, without repeated windows.
 
+    ``row_key`` names a column of longs that tells rows apart where ids repeat; it comes back
+    as a last column of that name.
+
     A window is ``width`` consecutive words of one document, a word a run of bytes other
     than space and 0x09 to 0x0D. A word goes if some window over it also starts in a
     document with a smaller id; windows are judged on the input. The kept words are joined
@@ -120,7 +123,8 @@ def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     other row lose words. Rows that share an id are no earlier than each other, so both
     stay. Texts of fewer words than ``width`` stay. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keys = [F.col(row_key).cast("long")] if row_key else []
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keys)
     stored = B.write_blocks(rows)
     windows = max(1, B.total_bytes(stored) // BYTES_PER_WORD)
     shards = max(1, math.ceil(windows / SHARD_WINDOWS))
@@ -192,16 +196,19 @@ def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 b" ".join([data[a:b] for a, b in zip(starts[left], ends[left], strict=True)])
             )
         sums = np.concatenate([[0], np.cumsum(gone)])
+        columns = {row_key: table.column(row_key)} if row_key else {}
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
                 "n_words": pa.array(words.counts(), pa.int64()),
                 "n_removed": pa.array(sums[words.first[1:]] - sums[words.first[:-1]], pa.int64()),
                 "text": pa.array(kept, pa.binary()).cast(pa.string()),
+                **columns,
             }
         )
 
-    return B.with_answers(stored, estimated.unionByName(exact), apply, _SCHEMA)
+    schema = f"{_SCHEMA}, {row_key} long" if row_key else _SCHEMA
+    return B.with_answers(stored, estimated.unionByName(exact), apply, schema)
 
 
 def _row(keys: bytes, row: int) -> np.ndarray:
