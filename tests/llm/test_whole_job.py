@@ -6,8 +6,8 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import alike, brute_groups, brute_removal, shingles_of
-from tidelake.llm import jaccard
+from tests.llm.test_operators import alike, brute_groups, brute_removal, model, shingles_of  # noqa: F401
+from tidelake.llm import jaccard, toxicity
 from tidelake.llm.workers import ready
 
 
@@ -121,3 +121,24 @@ def test_near_duplicate_stage_on_documents(spark):
 
     left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame, "").collect()
     assert sorted(r.doc_id for r in left) == sorted(set(brute_groups(texts, 0, near).values()))
+
+
+@pytest.mark.parametrize("mark", ["_", ".", "-", "/", ",", "\u00a0", "\u3000", "><", ""])
+def test_toxicity_behind_the_head_of_a_long_word(model, mark):  # noqa: F811
+    filler = "the quiet town had of in and to a is " * 40
+    texts = [filler, filler + " you stupid idiot worthless moron loser"]
+    clean, toxic = toxicity.scores(model, [mark.join(t.split()) for t in texts])
+    assert clean < 0.7
+    assert toxic >= 0.7 if mark else toxic > clean
+
+
+def test_pieces_leave_nothing_out():
+    text = ("日本語の文章" * 40 + "__a-" + "b" * 90 + "!" * 70).encode()
+    words, hashes = toxicity._in_pieces(toxicity.Words([b"one two", text, b"", b"three"]))
+    assert words.counts().tolist()[0::2] == [2, 0] and len(hashes) == len(words.starts) == words.first[-1]
+    read = {b for lo, hi in zip(words.starts, words.ends, strict=True) for b in range(lo, hi)}
+    begin = words.data.index(text)
+    assert read >= set(range(begin, begin + len(text)))
+    assert max(words.ends - words.starts) <= 64
+    alone = toxicity.Words([b"three"])
+    assert hashes[-1] == toxicity.hash_words(alone)[0]

@@ -12,6 +12,7 @@ hash of the id, the first ``TRAIN_CHARS`` characters of each). Scoring reads eve
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,12 @@ from tidelake.llm.lm import remainder
 
 CLEAN_ROWS, TOXIC_ROWS, TRAIN_CHARS = 1800, 600, 60_000
 WINDOW, STRIDE = 48, 32
+#: Bytes of a word that is read as one, and of the pieces of a longer one.
+LONG, PIECE = 64, 32
+#: Marks, and spaces that are not white space in ASCII, part the words of a longer one.
+_MARKS = re.compile(
+    rb"(?:[\x00-&(-/:-@\[-`{-\x7f]|\xc2\xa0|\xe2\x80[\x80-\x8b]|\xe3\x80[\x80-\x82])+"
+)
 WORD_DIM, CHAR_DIM, HIDDEN, VOCABULARY = 8, 8, 8, 20_000
 #: Places for trigrams and for five-grams, as bits.
 THREE, FIVE = 12, 15
@@ -47,14 +54,52 @@ class Model:
 # ---------------------------------------------------------------- inputs
 
 
+def _in_pieces(words: Words) -> tuple[Words, np.ndarray]:
+    """Words and their hashes, where a word over ``LONG`` bytes is several.
+
+    Such a word may be a whole document, where white space does not part words. What stands
+    between ASCII marks or wide spaces in it are words; after them come pieces of all of it,
+    marks too, that overlap by half, so that nothing is left out.
+    """
+    starts, ends = words.starts, words.ends
+    long = np.flatnonzero(ends - starts > LONG)
+    if not len(long):
+        return words, hash_words(words)
+    count, inner, pieces = np.ones(len(starts), np.int64), [], []
+    for i in long:
+        begin, end = int(starts[i]), int(ends[i])
+        marks = [(begin, begin), *(m.span() for m in _MARKS.finditer(words.data, begin, end)), (end, end)]
+        gaps = np.array([(a, b) for (_, a), (b, _) in zip(marks, marks[1:], strict=False)], np.int64)
+        sizes = gaps[:, 1] - gaps[:, 0]
+        inner.append(gaps[(sizes > 0) & (sizes <= LONG)])
+        from_ = np.arange(begin, end - PIECE // 2, PIECE // 2)
+        pieces.append(np.stack([from_, np.minimum(from_ + PIECE, end)], axis=1))
+        count[i] = len(inner[-1]) + len(pieces[-1])
+    first = np.append(0, np.cumsum(count))
+    plain = np.ones(len(starts), bool)
+    plain[long] = False
+    spans = np.empty((int(first[-1]), 2), np.int64)
+    spans[first[:-1][plain]] = np.stack([starts[plain], ends[plain]], axis=1)
+    piece = np.zeros(len(spans), bool)
+    for i, own, cut in zip(long, inner, pieces, strict=True):
+        spans[first[i] : first[i + 1]] = np.concatenate([own, cut])
+        piece[first[i] + len(own) : first[i + 1]] = True
+    hashes = np.empty(len(spans), np.uint64)
+    for some in (~piece, piece):  # each in the order of the text
+        words.starts, words.ends = spans[some].T
+        hashes[some] = hash_words(words)
+    words.starts, words.ends = spans.T
+    words.first = first[words.first]
+    return words, hashes
+
+
 class _Inputs:
     """The distinct words of some texts and the windows over them."""
 
     def __init__(self, texts: list[str | None]):
         words = Words([t.encode() if t else None for t in texts], lower=True)
-        self.hashes, at, inverse = np.unique(
-            hash_words(words), return_index=True, return_inverse=True
-        )
+        words, hashes = _in_pieces(words)
+        self.hashes, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         self.grams, self.gram_of = self._trigrams(words, at)
         n = len(self.hashes)
         counts = words.counts()
@@ -73,7 +118,6 @@ class _Inputs:
     def _trigrams(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Table places of the byte trigrams, edges marked, and five-grams of each word."""
         starts, ends = words.starts[at], words.ends[at]
-        ends = np.minimum(ends, starts + 64)  # of a word longer than 64 bytes, its head
         sizes = ends - starts
         owner = np.repeat(np.arange(len(at)), sizes)
         place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
