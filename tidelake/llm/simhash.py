@@ -15,6 +15,8 @@ A similarity of 0.8 between sets of five-word shingles is about ten bits of a fi
 too far for so many tables. ``near_copies`` therefore takes fingerprints of word pairs,
 which such an edit moves less, covers them to nine bits in two halves (one half differs in
 at most four), and holds what meets there against a longer fingerprint of the shingles.
+Fingerprints cannot give that threshold: they lose some pairs above it and link some below,
+so the pipeline uses ``jaccard`` instead.
 """
 
 from __future__ import annotations
