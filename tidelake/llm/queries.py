@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from tidelake.llm import (
     ann,
     bpe,
+    codes,
+    interactions,
     lm,
+    oracles,
     packing,
+    quality,
     simhash,
     substrings,
     token_counts,
@@ -101,6 +105,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five text filters remove from every source, in every order and step."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return interactions.text_filters(docs, labels)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of robust outlier estimates."""
+    return quality.judge(_table(spark, sf_dir, "documents")).drop("distance")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every embedding, by codebooks learned in exact integers."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return codes.compress(rows.select("vec_id", "label", codes.finite().alias("vector")))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -114,6 +135,9 @@ QUERIES = {
         op8_simhash_groups,
         op9_warc_round_trip,
         op10_toxicity,
+        op11_filter_interactions,
+        op12_quality_rules,
+        op13_vector_codes,
     )
 }
 
@@ -182,4 +206,7 @@ ORACLES = {
                CASE WHEN page_id <> last THEN last END AS refers_to
         FROM b
     """,
+    "op11_filter_interactions": oracles.INTERACTIONS,
+    "op12_quality_rules": oracles.quality_rules(),
+    "op13_vector_codes": oracles.vector_codes(),
 }
