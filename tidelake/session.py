@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SCRATCH: list[list[str]] = []
 
 
 # Settings results or scale depend on, valid in any running session.
@@ -67,21 +71,52 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
+def cut(df: DataFrame, *partition_by: str, keep: bool = False, codec: str | None = None) -> DataFrame:
     """Store ``df`` as a table in the work folder and go on from there.
 
     Used where one result feeds several jobs, so it is neither recomputed per job nor
     lost with an executor. The planner then knows its true size, which is what lets it
-    broadcast a small set of keys instead of shuffling the big table they meet.
+    broadcast a small set of keys instead of shuffling the big table they meet. Inside
+    ``scratch`` the table lasts as long as the block, or the one around it with ``keep``.
     """
     spark = df.sparkSession
     path = new_dir(spark, "cut")
-    df.write.partitionBy(*partition_by).parquet(path)
+    if _SCRATCH:
+        _free_shuffles(spark)
+    level = 2 if keep else 1
+    if len(_SCRATCH) >= level:
+        _SCRATCH[-level].append(path)
+    writer = df.write.partitionBy(*partition_by)
+    (writer.option("compression", codec) if codec else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``cut`` stores inside, as a long chain of steps needs only
+    its last tables; and free the shuffle files of each step before the next."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        delete(spark, _SCRATCH.pop())
+        _free_shuffles(spark)
+
+
+def _free_shuffles(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of a plan once the driver has collected the plan."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_work_dir(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, once nothing reads them."""
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, [work_dir(spark)])
