@@ -50,12 +50,16 @@ class _Words(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self[""] = b""
+        #: Whether a letter is still one, or ends in one, when it is normalised.
+        self.whole: dict[str, bool] = {}
 
     def learn(self, words: set[str]) -> None:
         """Encode what is not remembered yet, by the letters before a closing mark.
 
-        Letters and the marks after them are tokens of their own, and letters of a-z have
-        the tokens of their capitals, so these share one call of the tokenizer.
+        Letters and the marks after them are tokens of their own if the letters still end
+        in a letter once they are normalised (a few come apart into a letter and an accent,
+        which is a mark like those behind it). Letters of a-z have the tokens of their
+        capitals, so these share one call of the tokenizer.
         """
         new = words - self.keys()
         if len(self) + 2 * len(new) > CACHED:
@@ -75,12 +79,16 @@ class _Words(dict):
                     self[left] = array("I", ids).tobytes()
                 self[word] = self[stem] + self[left]
 
-    @staticmethod
-    def _stem(word: str) -> str:
+    def _stem(self, word: str) -> str:
         stem = word.rstrip(".,;:!?")
         if not stem.isalpha():
             return word
-        return stem.lower() if stem.isascii() else stem
+        if stem.isascii():
+            return stem.lower()
+        last = stem[-1]
+        if last not in self.whole:
+            self.whole[last] = self.tokenizer.normalizer.normalize_str(last)[-1].isalpha()
+        return stem if self.whole[last] else word
 
 
 def _encoded(path: str, texts: list[str]) -> list[bytes]:
