@@ -6,12 +6,14 @@ texts. The network reads windows that overlap
 by a third, in both directions; attention pools its states into one logit. A text scores as
 its most toxic window, through a logistic scale fitted to whole training texts.
 
-Training takes a bounded sample of labelled rows (``CLEAN_ROWS`` and ``TOXIC_ROWS``, by
-hash of the id, the first ``TRAIN_CHARS`` characters of each). Scoring reads everything.
+Training takes a bounded sample of labelled rows, by hash of the id: at most ``CLEAN_ROWS``
+and ``TOXIC_ROWS``, whole texts, of ``TRAIN_BYTES`` together. It runs in one task of an
+executor, which returns the weights. Scoring reads everything.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +27,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tidelake.llm.blocks import Words, hash_windows, hash_words, mix
 from tidelake.llm.lm import remainder
 
-CLEAN_ROWS, TOXIC_ROWS, TRAIN_CHARS = 1800, 600, 60_000
+CLEAN_ROWS, TOXIC_ROWS, TRAIN_BYTES = 1800, 600, 32 << 20
 WINDOW, STRIDE = 48, 32
 #: Bytes of a word that is read as one, and of the pieces of a longer one.
 LONG, PIECE = 64, 32
@@ -39,6 +41,8 @@ THREE, FIVE = 12, 15
 CHAR_TABLE, INPUT = (1 << THREE) + (1 << FIVE), WORD_DIM + CHAR_DIM + 2
 THRESHOLD, HELD_OUT, FOLDS = 0.7, 1, 3
 _BATCH = 2048
+#: Texts whose grams are counted at a time.
+_TEXTS = 64
 _TEXT = 4 << 20
 
 
@@ -100,8 +104,10 @@ class _Inputs:
         words = Words([t.encode() if t else None for t in texts], lower=True)
         words, hashes = _in_pieces(words)
         self.hashes, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        self.grams, self.gram_of = self._trigrams(words, at)
+        self.grams, gram_of = self._trigrams(words, at)
         n = len(self.hashes)
+        # Where the grams of each word begin; padding, the last, has none.
+        self.gram_first = np.append(0, np.cumsum(np.bincount(gram_of, minlength=n + 1)))
         counts = words.counts()
         # A padding word stands after the last; an empty text is one window of padding.
         self.ids = np.append(inverse, n).astype(np.int32)
@@ -126,13 +132,13 @@ class _Inputs:
         left = np.where(place == 0, 1, buffer[here - 1])
         right = np.where(place == sizes[owner] - 1, 2, buffer[np.minimum(here + 1, len(buffer) - 1)])
         code = (left * 65536 + buffer[here] * 256 + right).astype(np.uint32) * np.uint32(2654435761)
-        three = (code >> np.uint32(32 - THREE)).astype(np.int64)
+        three = (code >> np.uint32(32 - THREE)).astype(np.int32)
         at5 = np.flatnonzero(place + 5 <= sizes[owner])
         code = np.zeros(len(at5), np.uint32)
         for i in range(5):
             code = (code ^ buffer[here[at5] + i]) * np.uint32(16777619)
-        five = (1 << THREE) + ((code * np.uint32(2654435761)) >> np.uint32(32 - FIVE)).astype(np.int64)
-        grams, owner = np.append(three, five), np.append(owner, owner[at5])
+        five = (1 << THREE) + ((code * np.uint32(2654435761)) >> np.uint32(32 - FIVE)).astype(np.int32)
+        grams, owner = np.append(three, five), np.append(owner, owner[at5]).astype(np.int32)
         order = np.argsort(owner, kind="stable")
         return grams[order], owner[order]
 
@@ -152,9 +158,9 @@ def _vectors(inputs: _Inputs, model_words: np.ndarray, w: dict) -> tuple[np.ndar
     x = np.zeros((n + 1, INPUT), np.float32)
     x[:n, :WORD_DIM] = w["word"][known]
     if n:
-        begin = np.searchsorted(inputs.gram_of, np.arange(n))
+        begin, sizes = inputs.gram_first[:n], np.diff(inputs.gram_first[: n + 1])
         sums = np.add.reduceat(w["char"][inputs.grams], begin, axis=0)
-        x[:n, WORD_DIM:-2] = sums / np.bincount(inputs.gram_of, minlength=n)[:, None]
+        x[:n, WORD_DIM:-2] = sums / sizes[:, None]
         x[:n, -2] = np.maximum.reduceat(w["gram_odds"][inputs.grams], begin)
     x[:n, -1] = w["odds"][known]
     return x, known
@@ -280,26 +286,46 @@ def _apart(texts: list[str]) -> np.ndarray:
     return np.flatnonzero(kept)
 
 
-def _odds(kind: np.ndarray, doc: np.ndarray, toxic: np.ndarray, size: int):
+class _Odds:
     """In how many texts each kind occurs, and the log odds of a toxic text with it."""
-    pairs = np.unique(doc * size + kind)
-    doc, kind = pairs // size, pairs % size
-    yes, no = (np.bincount(kind[t[doc]], minlength=size) for t in (toxic, ~toxic))
-    ratio = np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / ((~toxic).sum() + 1))
-    return yes + no, np.clip(ratio, -3, 3)
+
+    def __init__(self, toxic: np.ndarray, size: int):
+        self.toxic, self.counts = toxic, np.zeros((2, size), np.int64)
+
+    def add(self, kind: np.ndarray, doc: np.ndarray) -> None:
+        """Count kinds in texts that were not added before."""
+        size = self.counts.shape[1]
+        pairs = np.unique(doc * size + kind)
+        mark, kind = self.toxic[pairs // size], pairs % size
+        for i in (0, 1):
+            self.counts[i] += np.bincount(kind[mark == i], minlength=size)
+
+    def ratio(self) -> np.ndarray:
+        n = [(~self.toxic).sum(), self.toxic.sum()]
+        no, yes = (np.log((self.counts[i] + 0.5) / (n[i] + 1)) for i in (0, 1))
+        return np.clip(yes - no, -3, 3)
 
 
 def _vocabulary(inputs: _Inputs, toxic: np.ndarray):
-    """Words of five texts or more with their log odds, and the log odds of all grams."""
-    doc = np.repeat(np.arange(len(inputs.counts)), inputs.counts)
-    word, n = inputs.ids[: len(doc)].astype(np.int64), max(1, len(inputs.hashes))
-    texts, ratio = _odds(word, doc, toxic, n)
-    often = np.argsort(-texts, kind="stable")[:VOCABULARY]
-    often = np.sort(often[texts[often] >= 5])
-    pairs = np.unique(doc * n + word)
-    grams, row, _ = _grams_of(inputs, pairs % n)
-    texts, gram_ratio = _odds(grams, (pairs // n)[row], toxic, CHAR_TABLE)
-    gram_ratio[texts < 5] = 0
+    """Words of five texts or more with their log odds, and the log odds of all grams.
+
+    Some texts at a time, as a text has many more grams than bytes.
+    """
+    n, texts = max(1, len(inputs.hashes)), len(inputs.counts)
+    words, grams = _Odds(toxic, n), _Odds(toxic, CHAR_TABLE)
+    for lo in range(0, texts, _TEXTS):
+        hi = min(lo + _TEXTS, texts)
+        doc = np.repeat(np.arange(lo, hi), inputs.counts[lo:hi])
+        word = inputs.ids[inputs.first[lo] : inputs.first[hi]].astype(np.int64)
+        words.add(word, doc)
+        pairs = np.unique(doc * n + word)
+        found, row, _ = _grams_of(inputs, pairs % n)
+        grams.add(found, (pairs // n)[row])
+    held, ratio = words.counts.sum(axis=0), words.ratio()
+    often = np.argsort(-held, kind="stable")[:VOCABULARY]
+    often = np.sort(often[held[often] >= 5])
+    gram_ratio = grams.ratio()
+    gram_ratio[grams.counts.sum(axis=0) < 5] = 0
     return inputs.hashes[often], np.append(0.0, ratio[often]), gram_ratio
 
 
@@ -382,7 +408,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 6, seed: int = 7) ->
 
 def _grams_of(inputs: _Inputs, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trigram places of some distinct words, the row each belongs to, and how many."""
-    begin, end = (np.searchsorted(inputs.gram_of, here + i) for i in (0, 1))
+    begin, end = (inputs.gram_first[here + i] for i in (0, 1))
     sizes = end - begin
     row = np.repeat(np.arange(len(here)), sizes)
     within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -428,7 +454,9 @@ def train(
     """Fit to at most ``clean`` and ``toxic`` rows of the labels, never to held-out ids.
 
     Rows with a null id, a null or other label, or no text are no training rows; of
-    repeated labels of an id the highest counts.
+    repeated labels of an id the highest counts, of its texts the first in order. Texts that
+    would take the sample beyond ``TRAIN_BYTES`` are left out whole. None where a label has
+    no text.
     """
     marked = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
@@ -442,14 +470,31 @@ def train(
     for label, most in ((0, clean), (1, toxic)):
         some = marked.filter(F.col("toxic") == label).orderBy(order, "doc_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    texts = docs.select(
-        F.col("doc_id").cast("long"), F.substring("text", 1, TRAIN_CHARS).alias("text")
-    ).filter("text is not null")
-    # ``picked`` has ``clean + toxic`` rows at most.
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()
-    if not rows:
-        return None
-    return fit([r.text for r in rows], np.array([r.toxic == 1 for r in rows]))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # ``picked`` has ``clean + toxic`` rows at most; an id that has several texts teaches one.
+    sample = (
+        texts.filter("text is not null")
+        .join(F.broadcast(picked), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))
+            for row in zip(*columns, strict=True):
+                if size + len(row[1].encode()) <= TRAIN_BYTES:
+                    size += len(row[1].encode())
+                    held.append(row)
+        held.sort()
+        marks = np.array([mark == 1 for _, _, mark in held], bool)
+        model = pickle.dumps(fit([text for _, text, _ in held], marks))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    alone = sample.repartition(1).sortWithinPartitions(order, "doc_id")
+    made = alone.mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else None
 
 
 def scores(model: Model | None, texts: list[str | None]) -> np.ndarray:
