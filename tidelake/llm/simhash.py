@@ -12,11 +12,7 @@ that can differ, which bounds what a bucket can hold. Out of a bucket comes one
 each member at most, never its pairs.
 
 A similarity of 0.8 between sets of five-word shingles is about ten bits of a fingerprint,
-too far for so many tables. ``near_copies`` therefore takes fingerprints of word pairs,
-which such an edit moves less, covers them to nine bits in two halves (one half differs in
-at most four), and holds what meets there against a longer fingerprint of the shingles.
-Fingerprints cannot give that threshold: they lose some pairs above it and link some below,
-so the pipeline uses ``jaccard`` instead.
+too far for so many tables, and fingerprints cannot give that threshold; ``jaccard`` does.
 """
 
 from __future__ import annotations
@@ -34,55 +30,28 @@ from tidelake.session import cut
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Members of a bucket that one task compares.
 BUCKET = 16_384
-#: For copies of a similarity of 0.8 or more: words in a shingle of the candidate and the
-#: check fingerprint, radius and parts of the first, words and radius of the second. Shingle
-#: sets of similarity 0.8 differ in 29 of 192 bits on average, those of 0.6 in 44.
-PAIR, COPY_SHINGLE = 2, 5
-COPY_RADIUS, PARTS, COPY_BUCKET = 9, 2, 65_536
-CHECK_WORDS, CHECK_RADIUS = 3, 36
 _BITS = 64
 _STEP = 1 << 16
-_ODD, _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
-    """Other 64 bits for each hash; turn 0 is the hash itself."""
-    if turn:
-        hashes = hashes + np.uint64(turn * _ODD % (1 << 64))
-        for shift, factor in ((30, _FIRST), (27, _SECOND)):
-            hashes = (hashes ^ (hashes >> np.uint64(shift))) * np.uint64(factor)
-        hashes = hashes ^ (hashes >> np.uint64(31))
-    return hashes
-
-
-def _majority(text: str | None, width: int, count: int = 1, once: bool = False) -> np.ndarray:
-    """``count`` longs of majority bits over the shingles, repeats counted unless ``once``."""
+def _fingerprint(text: str | None, width: int) -> int:
+    """Majority bits over the shingles, repeats counted, as a signed long."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(count, np.int64)
+        return 0
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes).tolist()
     ends = ends[min(width, len(words)) - 1 :].tolist()
-    digest, parts = xxhash.xxh64_intdigest, []
+    digest, counts = xxhash.xxh64_intdigest, np.zeros(_BITS, np.int64)
     for lo in range(0, len(ends), _STEP):
         spans = zip(starts[lo : lo + _STEP], ends[lo : lo + _STEP], strict=False)
-        parts.append(np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8"))
-    hashes = np.concatenate(parts)
-    hashes = np.unique(hashes) if once else hashes
-    counts = np.zeros((count, _BITS), np.int64)
-    for lo in range(0, len(hashes), _STEP):
-        for turn in range(count):
-            some = _mixed(hashes[lo : lo + _STEP], turn).view(np.uint8).reshape(-1, 8)
-            bits = np.unpackbits(some, axis=1, bitorder="little")
-            counts[turn] += bits.sum(axis=0, dtype=np.int64)
-    majority = (2 * counts > len(hashes)).astype(np.uint8)
-    return np.packbits(majority, axis=1, bitorder="little").view("<i8")[:, 0]
-
-
-def _fingerprint(text: str | None, width: int) -> int:
-    return int(_majority(text, width)[0])
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    majority = (2 * counts > len(ends)).astype(np.uint8)
+    return int(np.packbits(majority, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -104,41 +73,29 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, bits long")
 
 
-def masks(radius: int, level: int = 0, parts: int = 1) -> list[int]:
-    """The masks of all tables, as signed longs; levels deal the vectors differently.
-
-    With several parts the positions are dealt out among them, and a mask keeps positions of
-    one part only: one of them has no more than its share of the positions that differ.
-    """
-    size = (1 << (radius // parts + 1)) - 1
+def masks(radius: int, level: int = 0) -> list[int]:
+    """The masks of all tables, as signed longs; levels deal the vectors differently."""
+    size = (1 << (radius + 1)) - 1
     rng = np.random.default_rng(level)
-    whole = np.arange(_BITS) if parts == 1 else rng.permutation(_BITS)
+    rounds = -(-_BITS // size)
+    vectors = np.concatenate([rng.permutation(size) + 1 for _ in range(rounds)])[:_BITS]
     out = []
-    for part in np.array_split(whole, parts):
-        rounds = -(-len(part) // size)
-        vectors = np.concatenate([rng.permutation(size) + 1 for _ in range(rounds)])
-        for v in range(1, size + 1):
-            odd = np.zeros(_BITS, np.uint8)
-            odd[part] = [int(x & v).bit_count() & 1 for x in vectors[: len(part)]]
-            out.append(int(np.packbits(odd, bitorder="little").view("<i8")[0]))
+    for v in range(1, size + 1):
+        odd = np.array([int(x & v).bit_count() & 1 for x in vectors], np.uint8)
+        out.append(int(np.packbits(odd, bitorder="little").view("<i8")[0]))
     return out
 
 
-def _near(bits, checks, front, open_, radius: int) -> np.ndarray:
+def _near(bits: np.ndarray, front: np.ndarray, open_: np.ndarray, radius: int) -> np.ndarray:
     """For each of ``open_`` whether it links with one of ``front``."""
     near = np.zeros(len(open_), bool)
     for lo in range(0, len(front), 64):
         some = front[lo : lo + 64]
-        close = np.bitwise_count(bits[some, None] ^ bits[None, open_]) <= radius
-        if checks is not None:
-            a, b = np.nonzero(close)
-            far = np.bitwise_count(checks[some[a]] ^ checks[open_[b]]).sum(axis=1)
-            close[a, b] = far <= CHECK_RADIUS
-        near |= close.any(axis=0)
+        near |= (np.bitwise_count(bits[some, None] ^ bits[None, open_]) <= radius).any(axis=0)
     return near
 
 
-def _star(bits, nodes, radius: int, checks=None) -> list[tuple[int, int]]:
+def _star(bits: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect just what links within the radius connect in a bucket."""
     links = []
     open_ = np.argsort(nodes, kind="stable")
@@ -146,21 +103,18 @@ def _star(bits, nodes, radius: int, checks=None) -> list[tuple[int, int]]:
         # From the smallest node that is left, take in whatever is near, again and again.
         root, front, open_ = nodes[open_[0]], open_[:1], open_[1:]
         while len(front) and len(open_):
-            near = _near(bits, checks, front, open_, radius)
+            near = _near(bits, front, open_, radius)
             front, open_ = open_[near], open_[~near]
             links.extend((int(n), int(root)) for n in nodes[front])
     return links
 
 
-def links(
-    nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, parts: int = 1
-) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """``u, v``: links (v < u) whose components are those of all pairs within ``radius``.
 
-    ``nodes`` has distinct ``bits`` and a distinct ``node`` for each. With a column
-    ``check`` (binary) a pair must differ there in ``CHECK_RADIUS`` bits at most, too.
+    ``nodes`` has distinct ``bits`` and a distinct ``node`` for each.
     """
-    columns = [c for c in ("bits", "node", "check") if c in nodes.columns]
+    columns = ["bits", "node"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,19 +122,12 @@ def links(
             for members in batch.column("members").to_pylist():
                 if len(members) == 2:
                     (a, b), (c, d) = ((m["bits"], m["node"]) for m in members)
-                    if ((a ^ c) & 0xFFFFFFFFFFFFFFFF).bit_count() > radius:
-                        continue
-                    e, f = (int.from_bytes(m.get("check", b"")) for m in members)
-                    if (e ^ f).bit_count() <= CHECK_RADIUS:
+                    if ((a ^ c) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius:
                         found.append((max(b, d), min(b, d)))
                     continue
                 bits = np.array([m["bits"] for m in members], np.int64).view(np.uint64)
                 own = np.array([m["node"] for m in members], np.int64)
-                checks = None
-                if "check" in columns:
-                    joined = b"".join(m["check"] for m in members)
-                    checks = np.frombuffer(joined, np.uint64).reshape(len(members), -1)
-                found += _star(bits, own, radius, checks)
+                found += _star(bits, own, radius)
             u, v = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_pydict(
                 {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}
@@ -192,7 +139,7 @@ def links(
                 F.struct(
                     F.lit(i).alias("t"), F.lit(m).cast("long").bitwiseOR(base).alias("mask")
                 )
-                for i, m in enumerate(masks(radius, level, parts))
+                for i, m in enumerate(masks(radius, level))
             )
         )
         rows = rows.withColumn("table", F.explode(tables))
@@ -271,35 +218,3 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
         "bits", F.coalesce("component", "node").alias("component_id")
     )
     return rows.join(groups, "bits", "left").select("doc_id", "bits", "component_id")
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id, bits, component_id``: groups of texts alike in 0.8 of their shingles.
-
-    ``bits`` is the SimHash of the set of word pairs. Texts link if it differs in
-    ``COPY_RADIUS`` bits at most, and the long fingerprint of the set of five-word shingles
-    in ``CHECK_RADIUS`` at most; equal ``bits`` are one node, which the long fingerprint of
-    its smallest id stands for. Ids, nulls, empty texts and empty tables are as in
-    ``near_duplicates``.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            bits = [int(_majority(t, PAIR, once=True)[0]) for t in texts]
-            long = [_majority(t, COPY_SHINGLE, CHECK_WORDS, once=True).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(bits, pa.int64()), pa.array(long, pa.binary())],
-                ["doc_id", "bits", "check"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = cut(rows.mapInArrow(run, "doc_id long, bits long, check binary"))
-    least = F.min(F.struct("doc_id", "check")).alias("m")
-    nodes = rows.filter("doc_id is not null").groupBy("bits").agg(least)
-    nodes = cut(nodes.select("bits", F.col("m.doc_id").alias("node"), F.col("m.check").alias("check")))
-    found = components(links(nodes, COPY_RADIUS, COPY_BUCKET, PARTS))
-    groups = nodes.join(found, "node", "left").select(
-        "bits", F.coalesce("component", "node").alias("component_id")
-    )
-    return rows.join(groups, "bits", "left").select("doc_id", "bits", "component_id")
