@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from tidelake.session import cut
 #: number of queries that the visits are calibrated with.
 SAMPLE, BRANCHES, LEAF, PROBES = 8192, 8, 32, 64
 RECALL, BLOCK_ROWS, QUERY_ROWS = 0.97, 4096, 256
+_FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass
@@ -80,10 +82,13 @@ class Tree:
                     todo.append((c, own[nearest == i]))
         return out
 
-    def visit(self, query: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves, best bin first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < leaves:
+    def visit(self, query: np.ndarray, leaves: int, held: np.ndarray, least: int) -> list[int]:
+        """The first ``leaves`` leaves, best bin first, and more until these hold ``least``.
+
+        ``held`` says how many ids each leaf holds.
+        """
+        queue, out, found = [(0.0, 0)], [], 0
+        while queue and (len(out) < leaves or found < least):
             _, node = heapq.heappop(queue)
             while node not in self.leaf_of:
                 kids = self.children[node]
@@ -94,6 +99,7 @@ class Tree:
                         heapq.heappush(queue, (float(far[i]), c))
                 node = int(kids[best])
             out.append(self.leaf_of[node])
+            found += held[out[-1]]
         return out
 
 
@@ -193,28 +199,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = R
     ``vectors`` has ``vec_id`` and ``vector`` (array of double, see ``usable``). Nearness is
     the inner product in double precision, ties go to the smaller id. Rows with a null id or
     vector take no part; rows that share an id are one, with the smallest vector in array
-    order. Vectors of another dimension than the first by id take no part. Fewer than k
-    candidates are all found, if the leaves visited hold them.
+    order. Vectors of each size are searched among their own. A query visits leaves until
+    these hold k others, so fewer come back only where there are fewer.
     """
     rows = vectors.filter("vec_id is not null and vector is not null")
     rows = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    first = rows.select(F.min(F.struct("vec_id", F.size("vector").alias("d"))).alias("m")).first().m
-    rows = cut(rows.filter(F.size("vector") == (first.d if first else 0)))
+    rows = cut(rows.withColumn("dim", F.size("vector")))
+    dims = sorted(r.dim for r in rows.select("dim").distinct().collect())
+    found = [_nearest_of(rows.filter(F.col("dim") == d).drop("dim"), is_query, k, recall) for d in dims]
+    empty = vectors.sparkSession.createDataFrame([], _FOUND)
+    return reduce(DataFrame.unionByName, found or [empty])
+
+
+def _nearest_of(rows: DataFrame, is_query: Column, k: int, recall: float) -> DataFrame:
+    """As ``nearest``, for stored rows of distinct ids whose vectors are of one size."""
     longest = rows.agg(
         F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     ).first()[0]
     ordered = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     sample = ordered.select("vector").toArrow().column("vector").combine_chunks()
-    if not len(sample):
-        return vectors.sparkSession.createDataFrame(
-            [], "query_id long, rank int, vec_id long, score double"
-        )
     points = sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1)
     tree = Tree(longest=float(np.sqrt(longest)))
     tree = Tree.fit(tree.lift(points), tree.longest)
     leaves = len(tree.leaf_of)
     # A tree has at most SAMPLE leaves, whatever is indexed by it.
-    shared = vectors.sparkSession.sparkContext.broadcast(tree)
+    shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     # One candidate for all rows of a vector, with the ids that can be among the k nearest
     # of any query: k of them, and one more as a query leaves itself out.
@@ -236,6 +245,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = R
 
     indexed = distinct.mapInArrow(leaf, "vector array<double>, ids array<long>, leaf long")
     blocks = cut(_pack(indexed, ["leaf"], BLOCK_ROWS))
+    held = np.zeros(leaves, np.int64)
+    of_leaf = blocks.groupBy("leaf").agg(F.sum(F.octet_length("ids") / 8).cast("long").alias("n"))
+    for r in of_leaf.collect():
+        held[r.leaf] = r.n
 
     asked = rows.filter(is_query).groupBy("vector").agg(F.min("vec_id").alias("number"))
     asked = cut(asked)
@@ -252,7 +265,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = R
                     batch.column("vector").to_pylist(),
                     strict=True,
                 ):
-                    for at in tree.visit(np.append(np.array(vector), 0.0), visits):
+                    for at in tree.visit(np.append(np.array(vector), 0.0), visits, held, k + 1):
                         numbers.append([number])
                         own.append(vector)
                         found.append(at)
