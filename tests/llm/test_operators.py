@@ -216,6 +216,21 @@ def test_packing_odd_rows(odd, none, monkeypatch, items):
     assert packing.pack(none, WORDS).collect() == []
 
 
+def test_tokens_of_all_letters_before_marks():
+    """Every letter of Unicode before each closing mark, alone and behind other letters."""
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha()]
+    tokenizer, marks = Tokenizer.from_file(WORDS), ".,;:!?"
+    texts = [c + m for n, c in enumerate(letters) for m in (marks[n % 6], marks[(n + 1) % 6] * 2)]
+    odd = [c for c in letters if not tokenizer.normalizer.normalize_str(c)[-1].isalpha()]
+    assert "\u0130" in odd and "\u0958" in odd
+    texts += [a + c + m for c in odd for m in marks for a in ("", "ANKARAL", "ab\u0915")]
+    texts += ["x\u0130,y ANKARAL\u0130. \u0915\u0958; \u0130"]
+    want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    got = packing._encoded(WORDS, texts)
+    wrong = [t for t, w, g in zip(texts, want, got, strict=True) if np.frombuffer(g, "<u4").tolist() != w.ids]
+    assert wrong == []
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(2)
     sizes = [rng.randint(1, 100) for _ in range(300)]
@@ -299,6 +314,19 @@ def test_neighbours_odd_rows(spark):
     assert ann.nearest(rows.limit(0), F.lit(True), 5).collect() == []
 
 
+def test_neighbours_of_each_size_and_full_lists(spark):
+    """An odd first row hides nothing, and leaves with few vectors give no short list."""
+    ready(spark)
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 2.0])] + [(i, rng.normal(size=8).tolist()) for i in range(1, 301)]
+    rows += [(1000 + i, (50 + rng.normal(size=8)).tolist()) for i in range(2)]  # far from the rest
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(3)
+    got = Counter(r.query_id for r in ann.nearest(frame, F.col("vec_id") % 20 == 0, 20).collect())
+    assert got == {i: 20 for i in [*range(20, 301, 20), 1000]}
+    few = ann.nearest(frame.filter("vec_id < 10"), F.lit(True), 20).collect()
+    assert Counter(r.query_id for r in few) == {i: 8 for i in range(1, 10)}
+
+
 def test_top_k_odd_rows(spark):
     rows = odd_vectors(spark)
     rows = rows.select("vec_id", topk.quantised().alias("vector"))
@@ -332,6 +360,40 @@ def brute_base(rows):
     return out
 
 
+def brute_model(rows, weights):
+    """log10 probability of each text by dictionaries of counts and the given mixture."""
+
+    def fold(i):
+        return zlib.crc32(b"" if i is None else str(i).encode()) % 10
+
+    tokens = [(i, [None, *words_of(t, lower=True), None]) for i, t in rows]
+    one, two = Counter(), Counter()
+    for i, w in tokens:
+        if fold(i):
+            one.update(w[1:])
+            two.update(zip(w, w[1:], strict=False))
+    n, out = sum(one.values()), []
+    for i, w in tokens:
+        total = 0.0
+        for before, x in zip(w, w[1:], strict=False):
+            seen = one[before]
+            a, b, c = weights[min(int(math.log2(seen)) + 1, lm.BUCKETS - 1) if seen else 0]
+            follows = two[before, x] / seen if seen else 0
+            total += math.log10(a * follows + b * one[x] / n + c / (len(one) + 1))
+        out.append((i, round(total, 6)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("table", ["documents", "odd"])
+def test_lm_model_scores(spark, documents, odd, table, monkeypatch):
+    kept, learn = [], lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda *a: kept.append(learn(*a)) or kept[-1])
+    rows = ODD if table == "odd" else documents
+    frame = odd if table == "odd" else spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
+    got = Counter((r.doc_id, round(r.score, 6)) for r in lm.score(frame).collect())
+    assert got == brute_model(rows, kept[0])
+
+
 @pytest.mark.parametrize("table", ["documents", "odd"])
 def test_lm_scores(spark, documents, odd, table, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_TOKENS", 3000)
@@ -424,58 +486,6 @@ def alike(a, b):
     return len(a & b) / len(a | b)
 
 
-def brute_copies(rows):
-    """Groups by the definition of ``near_copies``, pair by pair."""
-    bits = {i: int(simhash._majority(t, 2, once=True)[0]) & (1 << 64) - 1 for i, t in rows}
-    long = {i: int.from_bytes(simhash._majority(t, 5, 3, once=True).tobytes()) for i, t in rows}
-    first = {}
-    for i in sorted(bits):
-        first.setdefault(bits[i], i)
-    nodes = {i: b for b, i in first.items()}
-    groups = brute_groups(
-        nodes,
-        9,
-        lambda a, b: (bits[a] ^ bits[b]).bit_count() <= 9 and (long[a] ^ long[b]).bit_count() <= 36,
-    )
-    return {i: groups[first[b]] for i, b in bits.items()}
-
-
-def test_near_copies(spark, documents):
-    """Edited texts of similarity 0.8 are found, by the definition and by their shingles."""
-    rng = random.Random(8)
-    rows, pairs = list(documents), []
-    for i, t in documents:
-        words = (t or "").split()
-        for n in (1, 2, 3):
-            edited = list(words)
-            for at in rng.sample(range(len(words)), min(len(words), len(words) // (35 * n))):
-                edited[at] = f"edit{rng.getrandbits(30)}"
-            text = " ".join(edited)
-            if edited != words and alike(shingles_of(t), shingles_of(text)) >= 0.8:
-                pairs.append((i, 10_000_000 * n + i))
-                rows.append((10_000_000 * n + i, text))
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
-    assert got == brute_copies(rows)
-    assert len(pairs) > 100
-    assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
-    texts = dict(rows)
-    for i, group in got.items():
-        if i != group and i < 10_000_000:  # whatever goes is like another one of its group
-            own = shingles_of(texts[i])
-            assert max(alike(own, shingles_of(texts[j])) for j in got if j != i and got[j] == group) > 0.6
-
-
-def test_near_copies_odd_rows(odd, none):
-    rows = [(i, t) for i, t in ODD if i is not None]
-    groups = brute_copies(rows)
-    got = simhash.near_copies(odd).collect()
-    assert len(got) == len(ODD)
-    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == groups
-    assert groups[1] == groups[2] == groups[3] == 1 and groups[6] == groups[11]
-    assert simhash.near_copies(none).collect() == []
-
-
 @pytest.mark.parametrize("bucket", [16_384, 8])
 def test_covering_finds_every_link(spark, bucket):
     rng = random.Random(4)
@@ -503,15 +513,6 @@ def test_masks_cover_every_small_difference():
         assert any(not m & gone for m in masks)
 
 
-def test_masks_of_two_parts_cover_nine():
-    masks = [m & (1 << 64) - 1 for m in simhash.masks(9, 0, 2)]
-    assert len(masks) == len(set(masks)) == 62
-    rng = random.Random(6)
-    for _ in range(3000):
-        gone = sum(1 << b for b in rng.sample(range(64), 9))
-        assert any(not m & gone for m in masks)
-
-
 # ---------------------------------------------------------------- 9
 
 
@@ -610,6 +611,83 @@ def test_toxicity_reads_whole_texts(model):
     assert scores[0] < 0.7 <= scores[1]
 
 
+def brute_toxicity(model, text):
+    """Score of a text of short words, word by word and step by step."""
+    w, words = model.weights, [x.decode() for x in words_of(text, lower=True)]
+    at = {int(h): n + 1 for n, h in enumerate(model.words)}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        data = word.encode()
+        own = toxicity.hash_words(toxicity.Words([data]))[0]
+        known = at.get(int(own), 0)
+        marked, places = b"\x01" + data + b"\x02", []
+        for i in range(len(data)):
+            code = (marked[i] << 16 | marked[i + 1] << 8 | marked[i + 2]) * 2654435761 % 2**32
+            places.append(code >> 32 - toxicity.THREE)
+        for i in range(len(data) - 4):
+            code = 0
+            for b in data[i : i + 5]:
+                code = (code ^ b) * 16777619 % 2**32
+            places.append((1 << toxicity.THREE) + (code * 2654435761 % 2**32 >> 32 - toxicity.FIVE))
+        grams = [w["char"][p].astype(float) for p in places]
+        odds = max(w["gram_odds"][p] for p in places)
+        return np.concatenate([w["word"][known], np.mean(grams, axis=0), [odds], [w["odds"][known]]])
+
+    n, h = len(words), toxicity.HIDDEN
+    starts = [0] if n <= toxicity.WINDOW else [
+        min(i * toxicity.STRIDE, n - toxicity.WINDOW)
+        for i in range(-(-(n - toxicity.WINDOW) // toxicity.STRIDE) + 1)
+    ]
+    worst = -np.inf
+    for start in starts:
+        inputs = [vector(x) @ w["enter"] + w["enter_bias"] for x in words[start : start + toxicity.WINDOW]]
+        states = np.zeros((len(inputs), 2 * h))
+        for way in (0, 1):
+            state = np.zeros(h)
+            for t in range(len(inputs)) if way == 0 else reversed(range(len(inputs))):
+                x, y = inputs[t][way * 3 * h : (way + 1) * 3 * h], state @ w["inner"][way]
+                z, r = sigmoid(x[:h] + y[:h]), sigmoid(x[h : 2 * h] + y[h : 2 * h])
+                new = np.tanh(x[2 * h :] + r * y[2 * h :])
+                state = z * state + (1 - z) * new
+                states[t, way * h : (way + 1) * h] = state
+        if len(inputs):
+            raw = np.tanh(states @ w["attend"]) @ w["attend_to"]
+            share = np.exp(raw - raw.max())
+            pooled = (share / share.sum()) @ states
+        else:
+            pooled = np.zeros(2 * h)
+        worst = max(worst, float(pooled @ w["out"] + w["bias"][0]))
+    return sigmoid(model.scale[0] * worst + model.scale[1])
+
+
+def test_toxicity_scores_equal_plain_loops(model, documents):
+    some = [t for _, t in sorted(documents) if max(map(len, words_of(t)), default=0) <= 64][:25]
+    some += ["a", "you stupid idiot", "x " * 49, "b c " * 100]
+    got = toxicity.scores(model, some)
+    assert np.allclose(got, [brute_toxicity(model, t) for t in some], atol=2e-4)
+
+
+def test_training_sample_is_bounded_and_whole(spark, monkeypatch):
+    """One text for each id however often it occurs, none beyond the bytes, none in part."""
+    ready(spark)
+    rows = [(i, f"text {i} " + "w " * 50) for i in range(40) for _ in range(3)] + [(3, "another"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda texts, marks: (sorted(texts), marks.tolist()))
+    texts, marks = toxicity.train(docs, labels)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = sorted("another" if i == 3 else f"text {i} " + "w " * 50 for i in ids)
+    assert texts == want and len(marks) == len(want)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 1000)
+    texts, _ = toxicity.train(docs, labels)
+    assert set(texts) <= set(want) and 800 < sum(map(len, texts)) <= 1000
+    monkeypatch.undo()
+    assert toxicity.train(docs, labels.limit(0)) is None
+    assert toxicity.train(docs, labels.filter("toxic = 1")) is None
+    assert toxicity.train(docs.limit(0), labels) is None
+
+
 def test_toxicity_gradients():
     """What training goes down is the slope of what scoring computes."""
     rng = np.random.default_rng(0)
@@ -638,6 +716,17 @@ def test_toxicity_gradients():
 # ---------------------------------------------------------------- pipeline
 
 
+def brute_similar(texts):
+    """Groups of texts alike in 0.8 of their shingles, by all pairs of sets."""
+    sets = {i: shingles_of(t or "") for i, t in texts.items()}
+
+    def near(a, b):
+        x, y = sets[a], sets[b]
+        return 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and alike(x, y) >= 0.8
+
+    return brute_groups(texts, 0, near)
+
+
 def test_pipeline_stages(spark):
     ready(spark)
     folder = "/root/testdata/sf0.01"
@@ -650,8 +739,8 @@ def test_pipeline_stages(spark):
     assert sum(labels.get(r.doc_id) == 0 for r in gone) <= 0.02 * docs.count()
 
     apart = corpus_pipeline.cut(stages["near_duplicates"](spark, clean, folder))
-    rows = [(r.doc_id, r.text) for r in clean.collect()]
-    assert {r.doc_id for r in apart.collect()} == set(brute_copies(rows).values())
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert {r.doc_id for r in apart.collect()} == set(brute_similar(texts).values())
 
     once = corpus_pipeline.cut(stages["repeated_passages"](spark, apart, folder))
     assert once.columns == docs.columns
@@ -672,7 +761,26 @@ def test_pipeline_odd_rows(spark, odd, none):
     docs = odd.select(
         "doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars")
     )
-    for table in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            table = corpus_pipeline.cut(stage(spark, table, "/root/testdata/sf0.001"))
-    assert re.match("doc_id", docs.columns[0])
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, table: corpus_pipeline.cut(stages[name](spark, table, SF))
+    empty = docs.limit(0)
+    for name in stages:
+        empty = run(name, empty)
+        assert empty.count() == 0
+    clean = run("toxicity", docs)
+    assert Counter(map(tuple, clean.collect())) == Counter(map(tuple, docs.collect()))
+    apart = run("near_duplicates", clean)
+    # Rows without an id stay; of the others one of each group, that of the smallest id.
+    known = sorted((i, t) for i, t in ((i, t or "") for i, t in ODD if i is not None))
+    groups = brute_similar(dict(enumerate(t for _, t in known)))
+    want = Counter(known[n][0] for n in set(groups.values())) + Counter([None] * 2)
+    assert Counter(r.doc_id for r in apart.collect()) == want
+    once = run("repeated_passages", apart)
+    rows = [(r.doc_id, r.text) for r in apart.collect()]
+    kept = {(i, t): n for (i, _, gone, t), n in brute_removal(rows, 50).items() if gone}
+    changed = Counter({k: n for k, n in kept.items() if k[1]})
+    texts = Counter((r.doc_id, r.text) for r in once.collect())
+    assert texts - Counter(rows) == changed
+    assert sum(texts.values()) == len(rows) - sum(n for k, n in kept.items() if not k[1])
+    packed = rows_of(run("packing", once))
+    check_packing(packed, list(texts.elements()), 4096)

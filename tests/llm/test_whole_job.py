@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import alike, brute_groups, brute_removal, model, shingles_of  # noqa: F401
+from tests.llm.test_operators import alike, brute_groups, brute_removal, brute_similar, model, shingles_of  # noqa: F401
 from tidelake.llm import jaccard, toxicity
 from tidelake.llm.workers import ready
 
@@ -113,14 +114,39 @@ def test_near_duplicate_stage_on_documents(spark):
     """What the stage leaves of the documents is one of each group by true similarity."""
     frame = ready(spark).read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in frame.collect()}
-    sets = {i: shingles_of(t or "") for i, t in texts.items()}
-
-    def near(a, b):
-        x, y = sets[a], sets[b]
-        return 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and alike(x, y) >= 0.8
-
     left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame, "").collect()
-    assert sorted(r.doc_id for r in left) == sorted(set(brute_groups(texts, 0, near).values()))
+    assert sorted(r.doc_id for r in left) == sorted(set(brute_similar(texts).values()))
+
+
+def test_template_texts_cost_rows_in_proportion(spark, monkeypatch):
+    """Texts of one template that are not alike: no pair of them becomes a row."""
+    kept = []
+    check = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, texts: kept.append(pairs.count()) or check(pairs, texts))
+    rng, ready_spark = random.Random(9), ready(spark)
+    template = [f"t{i}" for i in range(200)]
+    for n in (250, 500, 1000):
+        rows = [(i, " ".join(edited(template, 10, rng))) for i in range(n)]
+        kept.clear()
+        frame = ready_spark.createDataFrame(rows, "row long, text string").repartition(3)
+        assert jaccard.links(frame).count() == 0
+        assert sum(kept) <= n, (n, kept)
+
+
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 70, 400, 3000):
+        for share in (0, 0.02, 0.1, 0.5):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.where(rng.random(n) < share, rng.integers(0, 1 << 63, n).astype(np.uint64), a)
+            b = np.unique(b)[: max(1, int(n * rng.uniform(0.45, 1)))]
+            a = np.unique(a)
+            maps = [
+                np.frombuffer(jaccard.bitmaps(x, np.zeros(len(x), np.int64), 1)[0], np.uint8) for x in (a, b)
+            ]
+            width = min(map(len, maps))
+            x, y = (jaccard.folded(m, width) for m in maps)
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
 @pytest.mark.parametrize("mark", ["_", ".", "-", "/", ",", "\u00a0", "\u3000", "><", ""])
