@@ -331,8 +331,7 @@ def test_pages_cover_everything_once_with_nulls(spark):
             seen += [r.id for r in rows]
             after = {"v": rows[-1].v, "id": rows[-1].id}
         assert sorted(seen) == list(range(100)) and len(seen) == 100
-    with pytest.raises(ValueError):
-        queries.page(df, [("id", False)], 10, offset=10**9)
+    assert queries.page(df, [("id", False)], 10, offset=10**9).count() == 0
 
 
 def test_left_counts_equal_the_plain_joins(spark):

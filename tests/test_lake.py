@@ -11,7 +11,9 @@ from tidelake.operators import entities, queries, relations, runs
 from tidelake.operators.ingest import with_partitions
 from tidelake.plans import fixtures as fx
 from tidelake.sources import feeds, files
+from tidelake.sources.journal import Journal
 from tidelake.sources.lake import LakeTable
+from tidelake.sources.ordered import OrderedTable
 from tidelake.streaming.ingest import start_apply, start_ingest
 from tidelake.streaming.tracker import start_run_tracker, tracked_state
 
@@ -401,6 +403,154 @@ def test_a_replayed_removal_leaves_new_relations(spark, lending, tmp_path):
     assert spark.read.parquet(f"{bad}/pairs").count() == 1
 
 
+def feed_of(spark, *records):
+    """Change records (op, hour, attributes), each in the order given."""
+    import json
+
+    rows = []
+    for n, (op, hour, attributes) in enumerate(records):
+        img = json.dumps({k: {"S": v} for k, v in attributes.items()})
+        at = DAY0 + timedelta(hours=hour)
+        rows.append(("k", op, at, n, *((img, None) if op == "REMOVE" else (None, img))))
+    return spark.createDataFrame(rows, feeds.CHANGE_SCHEMA)
+
+
+def reader(n, name="x"):
+    return {"PK": f"reader#{n}", "entityType": "reader", "id": str(n), "name": name}
+
+
+def loan(n, reader_id, table="reader_loans"):
+    return {
+        "PK": f"joinTableData#{n}", "entityType": table, "joinTable": table, "joinTableName": table,
+        "relationId": n, "readerId": reader_id, "bookId": "8", "s3Key": "k",
+        "createdAt": "2024-05-05T10:00:00.000Z",
+    }
+
+
+def test_no_record_vanishes(spark, lending, tmp_path):
+    """Records of a declared name that is something else go to the bad rows."""
+    bad = str(tmp_path / "bad")
+    feed = feed_of(
+        spark,
+        ("INSERT", 1, reader(1)),
+        ("INSERT", 1, reader(2) | {"entityType": "reader_loans"}),
+        ("INSERT", 1, loan("r1", "1")),
+        ("INSERT", 1, loan("r2", "1", "reader")),
+    )
+    lending.apply(feed, NOW, bad, batch=0)
+    assert lending.table("reader").scan().count() == 1
+    assert lending.table("reader_loans").scan().count() == 1
+    assert spark.read.parquet(f"{bad}/_unknown").count() == 2
+    # Another source, and batches without a number, leave these where they are.
+    lending.apply(feed_of(spark, ("INSERT", 2, {"PK": "x", "entityType": "y"})), NOW, bad, 0, "other")
+    for _ in range(2):
+        lending.apply(feed_of(spark, ("INSERT", 2, {"PK": "x", "entityType": "z"})), NOW, bad)
+    assert spark.read.parquet(f"{bad}/_unknown").count() == 5
+
+
+READER = EntitySpec("Reader", {"id": "ID!", "name": "String!"})
+READER_LOANS = RelationSpec("reader_loans", {"readerId": "Reader", "bookId": "Book"})
+
+
+class Crash(Exception):
+    pass
+
+
+def crashing(monkeypatch, at):
+    """From now on the step number ``at`` that makes anything visible fails before it does."""
+    steps = []
+
+    def fail_at(owner, name):
+        whole = getattr(owner, name)
+
+        def step(self, *args, **kwargs):
+            steps.append(name)
+            if len(steps) == at:
+                raise Crash(name)
+            return whole(self, *args, **kwargs)
+
+        monkeypatch.setattr(owner, name, step)
+
+    fail_at(LakeTable, "_create")
+    fail_at(Journal, "finish")
+    return steps
+
+
+def test_a_batch_that_crashes_anywhere_is_finished_by_its_replay(spark, tmp_path):
+    """The lake stream, killed before each step that is visible, against one never killed."""
+    parts = [
+        [("INSERT", 1, reader(1)), ("INSERT", 1, reader(2)), ("INSERT", 1, loan("a", "1")), ("INSERT", 1, loan("b", "2"))],
+        [("REMOVE", 2, reader(1)), ("MODIFY", 2, reader(2, "new")), ("INSERT", 2, loan("c", "2"))],
+    ]
+
+    def new_lake(name):
+        return Lake(spark, str(tmp_path / name), [READER], [READER_LOANS])
+
+    def add(source, number):
+        feed_of(spark, *parts[number]).coalesce(1).write.mode("append").parquet(source)
+
+    def run(lake, name):
+        stream = feeds.changes(spark, str(tmp_path / f"src-{name}"), streaming=True)
+        lake.start(stream, str(tmp_path / f"cp-{name}"), NOW, str(tmp_path / f"bad-{name}")).awaitTermination()
+
+    def state(lake):
+        return (
+            sorted(tuple(r) for r in lake.table("reader").scan().select("id", "name").collect()),
+            sorted(r.relationId for r in lake.table("reader_loans").scan().collect()),
+        )
+
+    at, crashed = 0, True
+    while crashed:
+        at += 1
+        name = f"n{at}"
+        add(str(tmp_path / f"src-{name}"), 0)
+        lake = new_lake(name)
+        run(lake, name)
+        add(str(tmp_path / f"src-{name}"), 1)
+        with pytest.MonkeyPatch.context() as patch:
+            steps = crashing(patch, at)
+            try:
+                run(lake, name)
+                crashed = False
+            except Exception as e:
+                assert "Crash" in str(e)
+        run(new_lake(name), name)
+        run(new_lake(name), name)
+        assert state(lake) == ([("2", "new")], ["b", "c"]), (at, steps)
+    # Both tables, the cascade and the journal were each crashed before.
+    assert at > 4
+
+
+def test_batches_in_any_order_leave_the_same_state(spark, tmp_path):
+    changes = random_changes(5, 60)
+    batches = [changes[i : i + 15] for i in range(0, 60, 15)]
+    for n, order in enumerate(((3, 2, 1, 0), (1, 3, 1, 0, 2, 3), (0, 1, 2, 3))):
+        table = OrderedTable(spark, str(tmp_path / f"t{n}"), ITEM)
+        for i in order:
+            table.merge(spark.createDataFrame(batches[i], CHANGE), NOW)
+        assert content(table) == model(changes)
+    # A failure between rows and marks: the same changes once more change nothing.
+    table = OrderedTable(spark, str(tmp_path / "half"), ITEM)
+    frames = [spark.createDataFrame(b, CHANGE) for b in batches]
+    table.rows.merge(table.newer(frames[3]), NOW)
+    for i in (3, 0, 1, 2):
+        table.merge(frames[i], NOW)
+    assert content(table) == model(changes)
+
+
+def test_stream_keeps_rows_without_a_required_field_aside(spark, tmp_path):
+    rows = fx.faulty_changes(spark, SF)
+    table = LakeTable(spark, str(tmp_path / "t"), fx.ACCOUNT)
+    rows.coalesce(1).write.parquet(str(tmp_path / "src"))
+    for n in range(2):  # a new checkpoint begins at batch 0 again and keeps what is there
+        stream = feeds.changes(spark, str(tmp_path / "src"), streaming=True)
+        start_apply(stream, table, str(tmp_path / f"cp{n}"), NOW, str(tmp_path / "bad")).awaitTermination()
+    bad = spark.read.parquet(str(tmp_path / "bad"))
+    assert {tuple(r._cast_errors) for r in bad.select("_cast_errors").distinct().collect()} == {("eventId",), ("kind",)}
+    assert bad.select("source").distinct().count() == 2
+    assert table.scan().filter("kind is null").count() == 0
+
+
 def test_early_and_late_run_events_settle_alike(spark, lending):
     schema = "queryExecutionId string, currentState string, ts timestamp"
     late, early = datetime(2024, 6, 2), datetime(2024, 6, 1)
@@ -476,6 +626,29 @@ def test_deletion_is_a_run(spark, tmp_path):
     assert lake.table("loans").scan().count() == 1
 
 
+def test_a_run_in_the_background_can_be_cancelled(spark, tmp_path):
+    import time
+
+    long = "SELECT sum(a.id * b.id) AS n FROM range(0, 100000000) a, range(0, 1000000) b WHERE a.id <> b.id"
+    lake = Lake(
+        spark,
+        str(tmp_path / "lake"),
+        queries=[QuerySpec("forever", long), QuerySpec("quick", "SELECT count(*) AS n FROM range(0, 10)")],
+    )
+    quick = lake.submit_background("quick", "q", NOW)
+    quick.join(120)
+    assert lake.result("q")[0].taskStatus == "SUCCEEDED"
+    assert [r.n for r in lake.result("q")[1].collect()] == [10]
+    thread = lake.submit_background("forever", "f", NOW)
+    time.sleep(3)
+    assert lake.result("f")[0].taskStatus == "RUNNING"
+    lake.cancel("f")
+    thread.join(120)
+    assert not thread.is_alive()
+    status, rows = lake.result("f")
+    assert status.taskStatus == "FAILED" and rows is None
+
+
 def test_declared_dates_as_iso_text(spark):
     asked = QuerySpec(
         "opened",

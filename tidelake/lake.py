@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 from functools import reduce
+from threading import Thread
 
+from pyspark import InheritableThread
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from tidelake.operators import entities, queries, relations, runs
 from tidelake.operators.entities import last_change
-from tidelake.operators.ingest import (
-    quarantine,
-    relation_changes,
-    split_required,
-    typed_changes,
-    with_route,
-)
+from tidelake.operators.ingest import relation_changes, sound, typed_changes, with_route
 from tidelake.session import configure, cut
 from tidelake.sources.files import load_result, save_result
+from tidelake.sources.journal import Journal, source_id
 from tidelake.sources.lake import LakeTable
 from tidelake.specs import EntitySpec, QuerySpec, RelationSpec
+from tidelake.streaming.ingest import for_each_batch
 
 Now = datetime | str | Column
 RUN = EntitySpec(
@@ -55,6 +55,8 @@ class Lake:
         self.relations = {r.table: r for r in relations}
         self.queries = {q.name: q for q in queries}
         self.runs = LakeTable(spark, f"{self.root}/runs", RUN)
+        self._cancelled: set[str] = set()
+        self.journal = Journal(spark, f"{self.root}/batches")
 
     def table(self, name: str) -> LakeTable:
         """The stored table of an entity or relation, in any letter case."""
@@ -125,48 +127,68 @@ class Lake:
         """Merge a batch of change records into all tables; bad rows go to ``bad_path``.
 
         Bad rows are those with a cast error, without a required field, or of a table that
-        is not declared. The batch is numbered per table and source, so one that comes
-        again is applied once. An entity that the batch leaves removed takes its relations
-        with it, unless the batch was applied before.
+        is not declared as what the record says it is; they lie in ``<table>/source=/batch=``
+        of their own. A numbered batch is done as a whole or applied again from the start:
+        one that comes again after that changes nothing. An entity that the batch leaves
+        removed takes its relations with it.
         """
+        if batch is not None and self.journal.done(source, batch):
+            return
         # Routed and stored once; every table then reads and parses only its own part.
-        declared = [*self.entities, *self.relations]
         # The folder names come from the declared tables, never from the records.
-        known = F.coalesce(F.col("_table").isin(*declared), F.lit(False))
+        entity = F.col("_route") == "entity"
+        known = F.when(entity, F.col("_table").isin(*self.entities)).otherwise(
+            F.col("_table").isin(*self.relations)
+        )
         named = with_route(changes).withColumn(
-            "_table", F.when(known, F.col("_table")).otherwise("_unknown")
+            "_table", F.when(F.coalesce(known, F.lit(False)), F.col("_table")).otherwise("_unknown")
         )
         routed = cut(named, "_route", "_table")
+        attempt = f"source={source_id(source)}/batch={uuid.uuid4().hex if batch is None else batch}"
         unknown = routed.filter(F.col("_table") == "_unknown")
-        unknown.write.mode("overwrite").parquet(f"{bad_path}/_unknown")
+        unknown.write.mode("overwrite").parquet(f"{bad_path}/_unknown/{attempt}")
         gone = []
         for name, spec in self.entities.items():
-            good = self._accept(typed_changes(routed, spec), spec, f"{bad_path}/{name}")
-            if batch is None or not self.table(name).applied(source, batch):
-                last = last_change(good, spec.key).filter(F.col("op") == "REMOVE")
-                gone.append(
-                    cut(
-                        last.select(
-                            F.lit(name).alias("entityType"),
-                            F.col(spec.key).cast("string").alias("entityId"),
-                        )
+            good = self._accept(typed_changes(routed, spec), spec, f"{bad_path}/{name}/{attempt}")
+            last = last_change(good, spec.key).filter(F.col("op") == "REMOVE")
+            gone.append(
+                cut(
+                    last.select(
+                        F.lit(name).alias("entityType"),
+                        F.col(spec.key).cast("string").alias("entityId"),
                     )
                 )
+            )
             self.table(name).merge(good, now, batch=batch, source=source)
         for name, spec in self.relations.items():
-            good = self._accept(relation_changes(routed, spec), spec, f"{bad_path}/{name}")
+            good = self._accept(relation_changes(routed, spec), spec, f"{bad_path}/{name}/{attempt}")
             self.table(name).merge(good, now, batch=batch, source=source)
         if gone and self.relations:
             self.cascade(cut(reduce(DataFrame.unionByName, gone).distinct()))
+        if batch is not None:
+            self.journal.finish(source, batch)
+
+    def start(
+        self, changes: DataFrame, checkpoint: str, now: datetime | str, bad_path: str
+    ) -> StreamingQuery:
+        """One stream of change records into all tables, relations and cascade, then stop.
+
+        Each micro-batch is one numbered batch of ``apply``, whose source is the stream that
+        the checkpoint names; a restart repeats the batch that was not finished.
+        """
+        return for_each_batch(
+            changes,
+            checkpoint,
+            lambda rows, number, source: self.apply(rows, now, bad_path, number, source),
+        )
 
     def _accept(
         self, typed: DataFrame, spec: EntitySpec | RelationSpec, bad_path: str
     ) -> DataFrame:
         """The clean rows; the others are stored with what is wrong with them."""
-        clean, bad = quarantine(cut(typed))
-        whole, lacking = split_required(clean, spec)
-        bad.unionByName(lacking).write.mode("overwrite").parquet(bad_path)
-        return whole
+        good, bad = sound(typed, spec)
+        bad.write.mode("overwrite").parquet(bad_path)
+        return good
 
     # -- relations -----------------------------------------------------------
 
@@ -222,19 +244,62 @@ class Lake:
 
         A failing query closes the run as FAILED and raises.
         """
+        self._open(name, run_id, now)
+        self._work(name, run_id, now, args)
+        return run_id
+
+    def submit_background(
+        self, name: str, run_id: str, now: Now, args: Mapping[str, object] | None = None
+    ) -> Thread:
+        """As ``submit``, but the query runs in a thread of its own, which is returned.
+
+        Its jobs carry the run's tag, so ``cancel`` reaches these and no others. A failure
+        is told by the run's state.
+        """
+        self._open(name, run_id, now)
+
+        def work() -> None:
+            self.spark.addTag(self._tag(run_id))
+            try:
+                self._work(name, run_id, now, args)
+            except Exception:  # the run says so
+                pass
+            finally:
+                self.spark.removeTag(self._tag(run_id))
+
+        thread = InheritableThread(target=work)
+        thread.start()
+        return thread
+
+    def cancel(self, run_id: str) -> None:
+        """Stop the query of a run in the background; the run then closes as CANCELLED."""
+        self._cancelled.add(run_id)
+        self.spark.interruptTag(self._tag(run_id))
+
+    @staticmethod
+    def _tag(run_id: str) -> str:
+        return f"run-{source_id(run_id)}"
+
+    def _open(self, name: str, run_id: str, now: Now) -> None:
         request = self.spark.range(1).select(
             F.lit(run_id).alias("taskId"), F.lit(name).alias("mutationName")
         )
         opened = runs.open_runs(request, now, self.runs.scan())
         self.runs.append(opened, now)
         self._settle(now, request.select("taskId"))
+
+    def _work(self, name: str, run_id: str, now: Now, args: Mapping[str, object] | None) -> None:
         try:
-            save_result(self.query(name, args), f"{self.root}/results", run_id)
+            if run_id not in self._cancelled:
+                save_result(self.query(name, args), f"{self.root}/results", run_id)
         except Exception:
-            self._close(run_id, runs.FAILED, now)
-            raise
-        self._close(run_id, runs.SUCCEEDED, now)
-        return run_id
+            if run_id not in self._cancelled:
+                self._close(run_id, runs.FAILED, now)
+                raise
+        cancelled = run_id in self._cancelled
+        self._cancelled.discard(run_id)
+        self.spark.removeTag(self._tag(run_id))
+        self._close(run_id, runs.CANCELLED if cancelled else runs.SUCCEEDED, now)
 
     def submit_deletion(
         self,
@@ -262,11 +327,11 @@ class Lake:
         try:
             due = relations.delete_targets(table.scan(), where, other, on)
             due = due.filter(F.col("s3Key").isNotNull()).select("relationId")
-            try:
-                due = due.unionByName(load_result(self.spark, results, run_id)).distinct()
-            except AnalysisException:  # its first attempt
-                pass
-            save_result(cut(due), results, run_id)
+            # Each attempt stores what it selects beside the others, so none is ever lost.
+            attempts = f"{self.root}/deletions/{source_id(run_id)}"
+            due.write.parquet(f"{attempts}/attempt={uuid.uuid4().hex}")
+            every = self.spark.read.parquet(attempts).select("relationId").distinct()
+            save_result(every, results, run_id)
             table.remove(load_result(self.spark, results, run_id))
         except Exception:
             self._close(run_id, runs.FAILED, now)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidelake.functions.ids import legacy_key
 from tidelake.functions.parse import instant, iso_timestamp, lost_in_cast, names_where, typed
+from tidelake.session import cut
 from tidelake.specs import PARTITIONS, EntitySpec, Field, RelationSpec
 
 # One attribute-value record. Sets, lists and maps below the first level
@@ -160,6 +161,13 @@ def split_required(
     return quarantine(marked)
 
 
+def sound(typed: DataFrame, spec: EntitySpec | RelationSpec) -> tuple[DataFrame, DataFrame]:
+    """Typed changes that can be applied, and the others with what is wrong with them."""
+    clean, bad = quarantine(cut(typed))
+    whole, lacking = split_required(clean, spec)
+    return whole, bad.unionByName(lacking)
+
+
 def infer_fields(df: DataFrame, names: list[str] | None = None, image: str = "image") -> list[Field]:
     """Declared types for fields nobody declared, one decision per column.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelake.functions.parse import instant
 
 # Run states and the execution states that end a run.
-RUNNING, SUCCEEDED, FAILED = "RUNNING", "SUCCEEDED", "FAILED"
+RUNNING, SUCCEEDED, FAILED, CANCELLED = "RUNNING", "SUCCEEDED", "FAILED", "CANCELLED"
 TERMINAL = ("SUCCEEDED", "FAILED", "CANCELLED")
 DELETION = "deletionTask"
 # Stands for "no time" in packed events: far before any timestamp, yet safe to multiply.

@@ -68,6 +68,7 @@ ORDER_PART_SUPPLIER = RelationSpec(
     {"supplierId": "Supplier", "orderId": "Order", "partId": "Part"},
     {"supplierId": "Int", "orderId": "Int", "partId": "Int"},
 )
+ACCOUNT_KINDS = RelationSpec("account_kinds", {"accountId": "Account", "kindName": "Kind"})
 USER_FOLLOWS = RelationSpec("user_follows", {"followerId": "User", "followingId": "User"})
 USER_FOLLOWS_DIRECTED = RelationSpec(
     "user_follows", {"followerId": "User", "followingId": "User"}, directed=True
@@ -250,6 +251,64 @@ def encoded_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _records(events: DataFrame, image: Column, removed: Column) -> DataFrame:
+    """Change records with the given images, placed by their events."""
+    return events.select(
+        F.col("event_id").cast("string").alias("key"),
+        F.when(removed, "REMOVE").otherwise("INSERT").alias("op"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("seq"),
+        F.when(removed, image).alias("old_image"),
+        F.when(~removed, image).alias("new_image"),
+    )
+
+
+def lake_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts as of ``encoded_changes``, and what each account did as a relation to the
+    kind of it; errors, which remove the account, make none."""
+    done = table(spark, sf_dir, "events").filter("event_type <> 'error'")
+    rid = F.concat_ws("_", "user_id", "event_type")
+    texts = {
+        "PK": F.concat(F.lit("joinTableData#"), rid),
+        "entityType": F.lit("account_kinds"),
+        "joinTable": F.lit("account_kinds"),
+        "joinTableName": F.lit("account_kinds"),
+        "relationId": rid,
+        "accountId": F.col("user_id").cast("string"),
+        "kindName": F.col("event_type"),
+        "s3Key": F.lit("k"),
+        "createdAt": iso("ts"),
+    }
+    image = F.to_json(F.struct(*(_text(c).alias(k) for k, c in texts.items())))
+    return encoded_changes(spark, sf_dir).unionByName(_records(done, image, F.lit(False)))
+
+
+def faulty_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An account record for each event. Views are sound; clicks carry a number that is none,
+    purchases lack a required field, signups name a table that nobody declared, and errors
+    a table that is declared as something else, small ones an entity as a relation."""
+    kind = F.col("event_type")
+    other = (kind == "error") & (F.col("value") <= 50)
+    texts = {
+        "PK": F.when(other, F.concat(F.lit("joinTableData#"), "event_id")).otherwise(
+            F.concat(F.lit("account#"), "event_id")
+        ),
+        "entityType": F.when(kind == "signup", "nobody")
+        .when(kind == "error", "account_kinds")
+        .otherwise("account"),
+        "joinTable": F.when(other, "account"),
+        "joinTableName": F.when(other, "account"),
+        "relationId": F.when(other, F.col("event_id").cast("string")),
+        "id": F.col("event_id").cast("string"),
+        "eventId": F.when(kind == "click", F.col("props")).otherwise(F.col("event_id").cast("string")),
+        "kind": F.when(kind != "purchase", kind),
+        "createdAt": iso("ts"),
+    }
+    given = {k: F.when(c.isNotNull(), _text(c)) for k, c in texts.items()}
+    image = F.to_json(F.struct(*(c.alias(k) for k, c in given.items())))
+    return _records(table(spark, sf_dir, "events"), image, F.lit(False))
+
+
 def run_requests(spark: SparkSession, sf_dir: str, unsent: bool = False) -> DataFrame:
     """A request for each order; those of open ones are ``unsent``, so their events are of
     unknown runs."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelake.lake import Lake
 from tidelake.operators import entities, runs
 from tidelake.plans import fixtures as fx
 from tidelake.plans.registry import ORACLES, query
@@ -13,6 +14,7 @@ from tidelake.plans import runs as run_plans  # noqa: F401
 from tidelake.session import new_dir
 from tidelake.sources import feeds
 from tidelake.sources.lake import LakeTable
+from tidelake.sources.ordered import OrderedTable
 from tidelake.streaming.ingest import start_apply, start_ingest
 from tidelake.streaming.tracker import start_run_tracker, tracked_state
 
@@ -49,6 +51,71 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _state(table.scan())
 
 
+def _new_lake(spark: SparkSession) -> Lake:
+    return Lake(spark, new_dir(spark, "lake"), [fx.ACCOUNT], [fx.ACCOUNT_KINDS])
+
+
+@query(
+    "stream_lake",
+    f"""with {fx.CH}, alive as (select * from ch where rn = 1 and op <> 'REMOVE')
+      select 'account' as stored_in, cast(user_id as varchar) as id, event_type as kind,
+        event_id as event_id from alive
+      union all select distinct 'account_kinds', user_id||'_'||event_type, event_type, null
+        from ch where op <> 'REMOVE' and user_id in (select user_id from alive)""",
+)
+def stream_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream into entities and relations, with the cascade of what it removes."""
+    path, lake = new_dir(spark, "lake-changes"), _new_lake(spark)
+    fx.lake_changes(spark, sf_dir).write.parquet(path)
+    stream = feeds.changes(spark, path, streaming=True, files_per_batch=1000)
+    bad = new_dir(spark, "lake-bad-rows")
+    lake.start(stream, new_dir(spark, "lake-cp"), fx.NOW, bad).awaitTermination()
+    accounts, kinds = (lake.table(t).scan() for t in ("account", "account_kinds"))
+    return accounts.select(
+        F.lit("account").alias("stored_in"), "id", "kind", F.col("eventId").alias("event_id")
+    ).unionByName(
+        kinds.select(
+            F.lit("account_kinds").alias("stored_in"),
+            F.col("relationId").alias("id"),
+            F.col("kindName").alias("kind"),
+            F.lit(None).cast("long").alias("event_id"),
+        )
+    )
+
+
+@query(
+    "ingest_rejects",
+    """select case event_type when 'view' then 'stored' when 'click' then 'eventId'
+        when 'purchase' then 'kind' else 'unknown' end as outcome, count(*) as n
+      from events group by 1""",
+)
+def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each record of a faulty feed ends: no record is lost, none is in two places."""
+    lake, bad = _new_lake(spark), new_dir(spark, "rejects")
+    lake.apply(fx.faulty_changes(spark, sf_dir), fx.NOW, bad, batch=0)
+    stored = lake.table("account").scan().select(F.lit("stored").alias("outcome"))
+    wrong = [
+        spark.read.parquet(f"{bad}/{t}").select(F.array_join("_cast_errors", ",").alias("outcome"))
+        for t in ("account", "account_kinds")
+    ]
+    unknown = spark.read.parquet(f"{bad}/_unknown").select(F.lit("unknown").alias("outcome"))
+    every = stored.unionByName(wrong[0]).unionByName(wrong[1]).unionByName(unknown)
+    return every.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("upsert_out_of_order", ORACLES["latest_state"])
+def upsert_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes in three batches, the latest first and one of them twice."""
+    table = OrderedTable(spark, new_dir(spark, "ordered"), fx.ACCOUNT)
+    changes = fx.typed_events(spark, sf_dir)
+    days = [F.lit(f"2024-01-{d}T00:00:00Z").cast("timestamp") for d in ("11", "21")]
+    first, last = F.col("ts") < days[0], F.col("ts") >= days[1]
+    middle = ~first & ~last
+    for part in (last, middle, first, middle):
+        table.merge(changes.filter(part), fx.NOW)
+    return _state(table.scan())
+
+
 @query("stream_run_state", ORACLES["run_state"])
 def stream_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, log = new_dir(spark, "exec-files"), new_dir(spark, "exec-log")

@@ -6,13 +6,14 @@ neither loses nor repeats a file. State per key lives in the table, not in the s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tidelake.operators.ingest import quarantine, typed_changes, with_metadata
-from tidelake.session import cut
+from tidelake.operators.ingest import sound, typed_changes, with_metadata
+from tidelake.sources.journal import source_id
 from tidelake.sources.lake import LakeTable
 from tidelake.specs import EntitySpec
 
@@ -45,25 +46,42 @@ def start_ingest(
     )
 
 
-def start_apply(
-    changes: DataFrame, table: LakeTable, checkpoint: str, now: datetime | str, bad_path: str
+def for_each_batch(
+    changes: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int, str], None]
 ) -> StreamingQuery:
-    """Merge each micro-batch into the table; bad rows go to ``bad_path``.
+    """``apply(rows, number, source)`` for each micro-batch there is, then stop.
 
-    The table remembers the last batch number of each checkpoint, so a batch that is
-    delivered again after a failure is applied once, and a new stream starts from its own.
+    ``source`` names the stream: another one, even in the place of its checkpoint, has
+    another id. A batch that failed comes again with its number.
     """
 
-    def apply(batch: DataFrame, number: int) -> None:
-        # The checkpoint names its stream; another one, even in its place, has another id.
+    def run(batch: DataFrame, number: int) -> None:
         source = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]
-        good, bad = quarantine(cut(typed_changes(batch, table.spec)))
-        bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
-        table.merge(good, now, batch=number, source=source)
+        apply(batch, number, source)
 
     return (
-        changes.writeStream.foreachBatch(apply)
+        changes.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def start_apply(
+    changes: DataFrame, table: LakeTable, checkpoint: str, now: datetime | str, bad_path: str
+) -> StreamingQuery:
+    """Merge each micro-batch into the table; bad rows go to ``bad_path``.
+
+    Bad rows have a cast error or lack a required field; each batch of each stream has a
+    folder of its own. The table remembers the last batch number of each checkpoint, so a
+    batch that is delivered again after a failure is applied once, and a new stream starts
+    from its own.
+    """
+
+    def apply(batch: DataFrame, number: int, source: str) -> None:
+        good, bad = sound(typed_changes(batch, table.spec), table.spec)
+        attempt = f"source={source_id(source)}/batch={number}"
+        bad.write.mode("overwrite").parquet(f"{bad_path}/{attempt}")
+        table.merge(good, now, batch=number, source=source)
+
+    return for_each_batch(changes, checkpoint, apply)
