@@ -12,6 +12,7 @@ import os
 import statistics
 import time
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,9 @@ HEADLINE = [
     "latest_state",
     "upsert_entities",
     "partial_update",
+    "upsert_out_of_order",
+    "ingest_rejects",
+    "stream_lake",
     "run_state",
     "run_reconcile",
     "lake_write",
@@ -103,6 +107,14 @@ def sizes(spark: SparkSession) -> dict[str, float]:
     return ratios
 
 
+def _column_bytes(name: str, column: str) -> int:
+    """Compressed bytes of a column, which is what a scan of it alone reads."""
+    meta = pq.ParquetFile(f"{SF_DIR}/{name}.parquet").metadata
+    at = meta.schema.names.index(column)
+    groups = (meta.row_group(i).column(at) for i in range(meta.num_row_groups))
+    return sum(c.total_compressed_size for c in groups)
+
+
 def pruning(spark: SparkSession) -> dict[str, float]:
     """A narrow column against the wide one, a month against the whole table."""
     documents = fx.table(spark, SF_DIR, "documents")
@@ -121,6 +133,8 @@ def pruning(spark: SparkSession) -> dict[str, float]:
         out[name] = round(seconds(lambda d=df: run(d)), 3)
     for name, df in (("orders_month_files", month), ("orders_all_files", whole)):
         out[name] = df.select(F.input_file_name()).distinct().count()
+    for name, column in (("documents_narrow_bytes", "n_chars"), ("documents_wide_bytes", "text")):
+        out[name] = _column_bytes("documents", column)
     return out
 
 
@@ -131,6 +145,8 @@ def applying(spark: SparkSession) -> dict[str, float]:
     table = LakeTable(spark, new_dir(spark, "bench-account"), fx.ACCOUNT)
     first = seconds(lambda: table.merge(changes, fx.NOW, batch=1))
     replay = seconds(lambda: table.merge(changes, fx.NOW, batch=1))
+    few = changes.orderBy("seq").limit(10)
+    again = seconds(lambda: table.merge(few, fx.NOW, batch=2))
     scattered = new_dir(spark, "bench-scattered")
     state = entities.latest(changes, "id").select("id", "value", "createdAt")
     dated = fx.with_partitions(state, fx.NOW)
@@ -139,6 +155,7 @@ def applying(spark: SparkSession) -> dict[str, float]:
     scattered_df = spark.read.parquet(scattered)
     files.arrange(scattered_df).write.partitionBy("year", "month", "day").parquet(compacted)
     out = {"merge_rows_per_sec": round(rows / first), "replay_sec": round(replay, 3)}
+    out["merge_10_rows_into_filled_sec"] = round(again, 3)
     for name, path in (("file_per_row_scan_sec", scattered), ("compacted_scan_sec", compacted)):
         df = spark.read.parquet(path).agg(F.sum("value"))
         run(df)

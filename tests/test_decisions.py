@@ -117,7 +117,7 @@ def test_inference_needs_every_value_to_agree(spark):
         {"e": {"S": "2024-01-01"}, "f": {"N": "3"}, "g": {"N": "3"}},
         {"g": {"S": "three"}},
     )
-    kinds = {f.name: f.kind for f in ingest.infer_fields(df)}
+    kinds = {f.name: f.kind for f in ingest.infer_fields(df, list("abcdefg"))}
     assert kinds == {
         "a": "String", "b": "String", "c": "Float", "d": "Boolean", "e": "AWSDateTime",
         "f": "Int", "g": "String",

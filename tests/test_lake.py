@@ -601,8 +601,13 @@ def test_thousands_of_undeclared_names(spark):
 
     image = "{" + ",".join(f'"n{i}": {{"N": "{i}"}}' for i in range(6000)) + "}"
     df = spark.createDataFrame([(image,)], "image string")
-    fields = ingest.infer_fields(df)
-    assert len(fields) == 6000 and {f.kind for f in fields} == {"Int"}
+    kinds = ingest.infer_kinds(df)
+    assert kinds.count() == 6000
+    assert [r.kind for r in kinds.select("kind").distinct().collect()] == ["Int"]
+    row = ingest.infer(df, ["n7", "absent"]).first()
+    assert (row.n7, row.absent, len(row._others)) == (7, None, 5999)
+    assert ingest.infer_fields(df, []) == []
+    assert len(ingest.infer(df, []).first()._others) == 6000
 
 
 def test_deletion_is_a_run(spark, tmp_path):

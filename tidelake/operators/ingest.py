@@ -168,50 +168,59 @@ def sound(typed: DataFrame, spec: EntitySpec | RelationSpec) -> tuple[DataFrame,
     return whole, bad.unionByName(lacking)
 
 
-def infer_fields(df: DataFrame, names: list[str] | None = None, image: str = "image") -> list[Field]:
-    """Declared types for fields nobody declared, one decision per column.
+def infer_kinds(df: DataFrame, image: str = "image") -> DataFrame:
+    """``name, kind, is_list``: a declared type for every attribute that occurs.
 
     A column is a timestamp only when every given value is ISO text that parses; a
     number column is integral only when no value has a point. Everything mixed is text.
-    One row of counts per attribute name reaches the driver, as each becomes a column
-    there; pass ``names`` to have only those.
+    Counts are reduced on the map side; however many names there are, none is collected.
     """
     entries = df.select(F.explode(F.from_json(F.col(image), f"map<string,{ATTRIBUTE}>")))
-    if names is not None:
-        entries = entries.filter(F.col("key").isin(*names))
     a = F.col("value")
-    seen = (
-        entries.groupBy("key")
-        .agg(
-            F.count(F.when(~F.coalesce(a.NULL, F.lit(False)), 1)).alias("given"),
-            F.count(iso_timestamp(a.S)).alias("times"),
-            F.count(a.N).alias("numbers"),
-            F.count(F.when(a.N.contains("."), 1)).alias("fractions"),
-            F.count(a.BOOL).alias("flags"),
-            F.count(a.L).alias("lists"),
+    counts = entries.groupBy(F.col("key").alias("name")).agg(
+        F.count(F.when(~F.coalesce(a.NULL, F.lit(False)), 1)).alias("given"),
+        F.count(iso_timestamp(a.S)).alias("times"),
+        F.count(a.N).alias("numbers"),
+        F.count(F.when(a.N.contains("."), 1)).alias("fractions"),
+        F.count(a.BOOL).alias("flags"),
+        F.count(a.L).alias("lists"),
+    )
+    given = F.col("given") > 0
+    kind = (
+        F.when(given & (F.col("times") == F.col("given")), "AWSDateTime")
+        .when(
+            given & (F.col("numbers") == F.col("given")),
+            F.when(F.col("fractions") > 0, "Float").otherwise("Int"),
         )
-        .collect()
+        .when(given & (F.col("flags") == F.col("given")), "Boolean")
+        .otherwise("String")
+    )
+    return counts.select(
+        "name", kind.alias("kind"), (given & (F.col("lists") == F.col("given"))).alias("is_list")
     )
-    counts = {r["key"]: r for r in seen}
-    fields = []
-    for name in names or sorted(counts):
-        n = counts.get(name)
-        total = n["given"] if n else 0
-        kind = "String"
-        if total and n["times"] == total:
-            kind = "AWSDateTime"
-        elif total and n["numbers"] == total:
-            kind = "Float" if n["fractions"] else "Int"
-        elif total and n["flags"] == total:
-            kind = "Boolean"
-        fields.append(Field(name, kind, is_list=total > 0 and n["lists"] == total))
-    return fields
-
-
-def infer(df: DataFrame, names: list[str] | None = None, image: str = "image") -> DataFrame:
-    """Decode and type images that come without any declaration."""
+
+
+def infer_fields(df: DataFrame, names: list[str], image: str = "image") -> list[Field]:
+    """Declared types of the named attributes, in that order; text where none occurs."""
+    found = infer_kinds(df, image).filter(F.col("name").isin(*names) if names else F.lit(False))
+    kinds = {r["name"]: Field(r["name"], r.kind, is_list=r.is_list) for r in found.collect()}
+    return [kinds.get(n, Field(n, "String")) for n in names]
+
+
+def infer(df: DataFrame, names: list[str], image: str = "image") -> DataFrame:
+    """Images that come without any declaration: the named attributes typed by ``infer_fields``.
+
+    All others stay together as text in one map, ``_others``, so attribute names that come
+    from data never become columns.
+    """
+    rest = F.from_json(F.col(image), "map<string,string>")
+    if not names:
+        return df.withColumn("_others", rest).drop(image).withColumn(
+            "_cast_errors", F.array().cast("array<string>")
+        )
     fields = infer_fields(df, names, image)
-    return enforce(decode(df, fields, image), fields)
+    others = F.map_filter(rest, lambda k, v: ~k.isin(*names))
+    return enforce(decode(df.withColumn("_others", others), fields, image), fields)
 
 
 def _created(df: DataFrame, column: str, now: datetime | str | Column) -> Column:

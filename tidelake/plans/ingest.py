@@ -64,12 +64,10 @@ def enforce_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     from events""",
 )
 def infer_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No declaration at all: names and types come from the images."""
-    rows = ops.infer(ops.pick_image(fx.change_records(spark, sf_dir)))
-    return rows.select(
-        "eventId", "id", "kind", "value", "props", "large", fx.ntz("createdAt").alias("createdAt"),
-        "detail",
-    )
+    """No declaration at all: types come from the images, for the names a caller asks for."""
+    names = ["eventId", "id", "kind", "value", "props", "large", "createdAt", "detail"]
+    rows = ops.infer(ops.pick_image(fx.change_records(spark, sf_dir)), names)
+    return rows.select(*names[:6], fx.ntz("createdAt").alias("createdAt"), "detail")
 
 
 _SCORED = [Field.of("event_id", "Int!"), Field.of("score", "Int"), Field.of("large", "Boolean")]
