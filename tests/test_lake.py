@@ -15,6 +15,7 @@ from tidelake.sources.journal import Journal
 from tidelake.sources.lake import LakeTable
 from tidelake.sources.ordered import OrderedTable
 from tidelake.streaming.ingest import start_apply, start_ingest
+from tidelake.streaming.relations import start_relate
 from tidelake.streaming.tracker import start_run_tracker, tracked_state
 
 NOW = "2024-06-01T00:00:00Z"
@@ -551,6 +552,34 @@ def test_stream_keeps_rows_without_a_required_field_aside(spark, tmp_path):
     assert table.scan().filter("kind is null").count() == 0
 
 
+def test_repeats_inside_the_window_never_reach_the_table(spark, tmp_path, monkeypatch):
+    table = LakeTable(spark, str(tmp_path / "t"), READER_LOANS)
+    schema = "readerId string, bookId string, createdAt timestamp"
+    src, bad, seen = str(tmp_path / "src"), str(tmp_path / "bad"), []
+    insert = relations.insert
+
+    def counted(spec, batch, *args):
+        seen.append(batch.count())
+        return insert(spec, batch, *args)
+
+    monkeypatch.setattr(relations, "insert", counted)
+
+    def run(*pairs):
+        rows = [(a, b, DAY0 + timedelta(minutes=m)) for a, b, m in pairs]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        start_relate(stream, table, str(tmp_path / "cp"), NOW, bad).awaitTermination()
+        return sorted((r.readerId, r.bookId) for r in table.scan().collect())
+
+    assert run(("1", "8", 0), ("1", "8", 1), ("2", "8", 2), (None, "8", 3)) == [("1", "8"), ("2", "8")]
+    assert run(("1", "8", 10), ("3", "8", 11)) == [("1", "8"), ("2", "8"), ("3", "8")]
+    assert sum(seen) == 4  # two pairs, an incomplete one, then one new pair
+    # A day later the state has forgotten the pair, but the table has not.
+    later = run(("9", "9", 2000)) and run(("1", "8", 3000), ("9", "9", 3000))
+    assert later == [("1", "8"), ("2", "8"), ("3", "8"), ("9", "9")]
+    assert spark.read.parquet(bad).count() == 1
+
+
 def test_early_and_late_run_events_settle_alike(spark, lending):
     schema = "queryExecutionId string, currentState string, ts timestamp"
     late, early = datetime(2024, 6, 2), datetime(2024, 6, 1)

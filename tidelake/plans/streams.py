@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.lake import Lake
-from tidelake.operators import entities, runs
+from tidelake.operators import entities, relations, runs
 from tidelake.plans import fixtures as fx
 from tidelake.plans.registry import ORACLES, query
 from tidelake.plans import entities as entity_plans  # noqa: F401  (its SQL is reused)
@@ -16,6 +16,7 @@ from tidelake.sources import feeds
 from tidelake.sources.lake import LakeTable
 from tidelake.sources.ordered import OrderedTable
 from tidelake.streaming.ingest import start_apply, start_ingest
+from tidelake.streaming.relations import start_relate
 from tidelake.streaming.tracker import start_run_tracker, tracked_state
 
 
@@ -116,6 +117,30 @@ def upsert_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _state(table.scan())
 
 
+@query(
+    "stream_relation_insert",
+    """select distinct substr(sha256('order_parts|order:'||l_orderkey||'|part:'||l_partkey),1,32)
+      as "relationId", l_orderkey as "orderId", l_partkey as "partId" from lineitem""",
+)
+def stream_relation_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished lines are stored already; open lines come as a stream."""
+    lines = fx.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("orderId"),
+        F.col("l_partkey").alias("partId"),
+        F.col("l_shipdate").cast("timestamp").alias("createdAt"),
+        "l_linestatus",
+    )
+    path = new_dir(spark, "line-files")
+    lines.filter("l_linestatus = 'O'").drop("l_linestatus").write.parquet(path)
+    table = LakeTable(spark, new_dir(spark, "order-parts"), fx.ORDER_PARTS)
+    finished = lines.filter("l_linestatus <> 'O'").drop("l_linestatus")
+    table.append(relations.insert(fx.ORDER_PARTS, finished, now=fx.NOW).rows, fx.NOW)
+    stream = spark.readStream.schema(lines.drop("l_linestatus").schema).parquet(path)
+    bad = new_dir(spark, "bad-pairs")
+    start_relate(stream, table, new_dir(spark, "relate-cp"), fx.NOW, bad).awaitTermination()
+    return table.scan().select("relationId", "orderId", "partId")
+
+
 @query("stream_run_state", ORACLES["run_state"])
 def stream_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, log = new_dir(spark, "exec-files"), new_dir(spark, "exec-log")
