@@ -23,23 +23,24 @@ def start_relate(
     now: datetime | str | Column,
     bad_path: str,
     within: str = "1 hour",
-    event_time: str = "createdAt",
 ) -> StreamingQuery:
     """Insert each association that is not there yet, then stop; incomplete ones go to ``bad_path``.
 
-    An association that comes again inside ``within`` of event time is dropped by the
-    stream's own state, which forgets it after that, so it never reaches the table; the
-    first to arrive is kept. What comes again later is found in the table. A batch that is
+    An association that arrives again inside ``within`` is dropped by the stream's own
+    state, which forgets it after that, so it never reaches the table; the first to arrive
+    is kept. What comes again later is found in the table. The window is one of arrival, as
+    a watermark over the rows' own times would drop whatever is late. A batch that is
     delivered again finds its own rows there and inserts nothing. Equal incomplete rows
     inside the window are one.
     """
     spec = table.spec
     whole_row = F.to_json(F.struct(*pairs.columns))
     keyed = pairs.withColumn("_key", F.coalesce(relation_id(spec), whole_row))
-    once = keyed.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["_key"])
+    arrived = keyed.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", within)
+    once = arrived.dropDuplicatesWithinWatermark(["_key"]).drop("_key", "_arrived")
 
     def apply(batch: DataFrame, number: int, source: str) -> None:
-        done = relations.insert(spec, cut(batch.drop("_key")), table.scan(), now)
+        done = relations.insert(spec, cut(batch), table.scan(), now)
         attempt = f"source={source_id(source)}/batch={number}"
         done.rejected.write.mode("overwrite").parquet(f"{bad_path}/{attempt}")
         rows = cut(done.rows)
