@@ -133,6 +133,22 @@ def test_template_texts_cost_rows_in_proportion(spark, monkeypatch):
         assert sum(kept) <= n, (n, kept)
 
 
+def test_a_large_group_of_near_copies_costs_rows_in_proportion(spark, monkeypatch):
+    """All alike: a tree of links, not all pairs, and one group in the end."""
+    kept, check = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, texts: kept.append(pairs.count()) or check(pairs, texts))
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    rng = random.Random(10)
+    base = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join(edited(base, 5, rng))) for i in range(300)]
+    sets = [shingles_of(t) for _, t in rows]
+    near = lambda a, b: alike(sets[a], sets[b]) >= 0.8
+    frame = ready(spark).createDataFrame(rows, "row long, text string").repartition(3)
+    groups = {r.node: r.component for r in jaccard.components(jaccard.links(frame)).collect()}
+    assert {i: groups.get(i, i) for i, _ in rows} == brute_groups({i: 0 for i, _ in rows}, 0, near)
+    assert sum(kept) <= 12 * len(rows), kept
+
+
 def test_bitmaps_never_differ_more_than_sets():
     rng = np.random.default_rng(3)
     for n in (1, 5, 70, 400, 3000):
