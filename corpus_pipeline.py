@@ -54,7 +54,8 @@ def _release(spark: SparkSession) -> None:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group alike in 0.8 of five-word shingles: that of the smallest id.
 
-    Rows without an id are in no group and stay.
+    Candidates by SimHash and covering tables, then by exact signatures; both are verified by
+    the whole shingle sets. Rows without an id are in no group and stay.
     """
     _release(ready(spark))
     docs = _keyed(docs)

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -184,3 +185,54 @@ def test_pieces_leave_nothing_out():
     assert max(words.ends - words.starts) <= 64
     alone = toxicity.Words([b"three"])
     assert hashes[-1] == toxicity.hash_words(alone)[0]
+
+
+def test_near_copies_come_through_fingerprints_first(spark, monkeypatch):
+    """What SimHash and its covering tables find is what is verified first; the exact way
+    meets only what they leave apart."""
+    rng, asked, check = random.Random(11), [], jaccard.verified
+
+    def told(pairs, texts):
+        asked.append({(r.u, r.v) for r in pairs.collect()})
+        return check(pairs, texts)
+
+    monkeypatch.setattr(jaccard, "verified", told)
+    base = [f"t{i}" for i in range(400)]
+    rows = [(i, " ".join(base + [f"e{i}"])) for i in range(20)]
+    other = [f"w{rng.getrandbits(30)}" for _ in range(400)]
+    rows += [(20, " ".join(other)), (21, " ".join(edited(other, 6, rng)))]
+    frame = ready(spark).createDataFrame(rows, "row long, text string").repartition(3)
+    groups = {r.node: r.component for r in jaccard.components(jaccard.links(frame)).collect()}
+    assert {i: groups.get(i, i) for i, _ in rows} == {i: 0 if i < 20 else 20 for i, _ in rows}
+    fingerprints = {(r.u, r.v) for r in jaccard.by_fingerprint(frame).collect()}
+    assert asked[0] and asked[0] <= fingerprints
+    assert sum(u < 20 and v < 20 for u, v in asked[0]) >= 19
+    assert not any(u < 20 and v < 20 for later in asked[1:] for u, v in later)
+
+
+def test_a_block_of_long_texts_is_compared_in_bounded_steps(monkeypatch):
+    """Bitmaps of long texts are held against each other a few at a time."""
+    largest, little = [], jaccard._differ_little
+
+    def told(a, b, sizes):
+        largest.append(np.broadcast_shapes(a.shape, b.shape))
+        return little(a, b, sizes)
+
+    monkeypatch.setattr(jaccard, "_differ_little", told)
+    monkeypatch.setattr(jaccard, "WORDS", 1 << 12)
+    rng = np.random.default_rng(5)
+    n, width = 100, 256
+    table = pa.table(
+        {
+            "sig": pa.array([1] * n, pa.int64()),
+            "lo": pa.array([0] * n, pa.int32()),
+            "hi": pa.array([0] * n, pa.int32()),
+            "block": pa.array([0] * n, pa.int32()),
+            "node": pa.array(range(n), pa.int64()),
+            "n": pa.array([1000] * n, pa.int64()),
+            "g": pa.array(range(n), pa.int64()),
+            "bits": pa.array([rng.bytes(width) for _ in range(n)], pa.binary()),
+        }
+    )
+    assert jaccard.compare_block(table, None).num_rows == 0
+    assert max(a * b * c for a, b, c in largest) <= max(1 << 12, n * width // 8)

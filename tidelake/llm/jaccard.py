@@ -1,5 +1,10 @@
 """Groups of texts alike in 0.8 of their five-word shingles, found without a miss and verified.
 
+Candidates come from SimHash fingerprints first, by the covering tables of ``simhash``: texts
+whose fingerprints are equal or link within its radius. Each is verified by both whole sets
+before it links. Such fingerprints find most near copies but cannot give the threshold, so
+what they leave apart goes an exact way, on signatures:
+
 Two sets of a and b shingles with a similarity of 0.8 differ in (a + b) / 9 shingles at most.
 Shingles are dealt by hash into more parts than that, so some part is the same in both sets:
 its signature finds the pair, whatever the texts are, and no probability is involved. Sizes
@@ -33,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm import blocks as B
+from tidelake.llm import simhash
 from tidelake.llm.simhash import components
 from tidelake.session import cut, scratch
 
@@ -41,6 +47,8 @@ WIDTH = 5
 SHARD_KEYS, BYTES_PER_KEY = 3_000_000, 8
 #: Texts of a signature that make rows of pairs, and that a block of a larger one holds.
 FEW, BLOCK = 16, 2048
+#: Words of bitmaps that one comparison in a block holds at a time, about.
+WORDS = 1 << 20
 #: Forests, each in another order, before every pair between groups is looked at.
 FORESTS = 3
 #: Dealings before the empty parts sign as well, and bits of a signature not asked about.
@@ -154,12 +162,22 @@ def _signed(table: pa.Table):
     return *signatures(value, doc, table.num_rows), value, doc
 
 
-def _shared(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Signatures that occur twice as ``sig, node, n`` (``n``: size of the set), and the
-    bitmaps of their texts as ``node, bits``."""
+def by_fingerprint(texts: DataFrame) -> DataFrame:
+    """``u, v``: candidates whose fingerprints are equal or link by the covering tables."""
+    named = texts.select(F.col("row").alias("doc_id"), "text")
+    rows = cut(simhash.fingerprints(named, WIDTH).withColumnRenamed("doc_id", "row"))
+    nodes = cut(rows.groupBy("bits").agg(F.min("row").alias("node")))
+    same = rows.join(nodes, "bits").filter("row <> node")
+    return same.select(F.col("row").alias("u"), F.col("node").alias("v")).unionByName(simhash.links(nodes))
+
+
+def _shared(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures that occur twice as ``sig, node, n`` (``n``: size of the set), and of their
+    texts the bitmaps as ``node, bits`` and the sizes as ``node, n``."""
     with scratch(texts.sparkSession):
         rows = _signature_rows(texts)
-    return rows.filter("bits is null").drop("bits"), rows.filter("bits is not null").select("node", "bits")
+    mapped = rows.filter("bits is not null")
+    return rows.filter("bits is null").drop("bits"), mapped.select("node", "bits"), mapped.select("node", "n")
 
 
 def _signature_rows(texts: DataFrame) -> DataFrame:
@@ -264,6 +282,39 @@ def forest(near, node: np.ndarray, g: np.ndarray, salt: int) -> tuple[np.ndarray
     return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
 
 
+def compare_block(table: pa.Table, salt: int | None) -> pa.Table:
+    """``u, v`` of one or two blocks of a signature, with a ``salt`` only a forest of it."""
+    block, node, n, g = (table.column(c).to_numpy() for c in ("block", "node", "n", "g"))
+    bits = table.column("bits").to_pylist()
+    width = min(map(len, bits))
+    maps = np.stack([folded(np.frombuffer(x, np.uint8), width) for x in bits])
+    maps = maps.view(np.uint64)
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        step = max(1, WORDS // max(1, len(b) * maps.shape[1]))
+        if len(a) > step:
+            return np.concatenate([near(a[i : i + step], b) for i in range(0, len(a), step)])
+        a, b = a[:, None], b[None]
+        passed = _differ_little(maps[a], maps[b], n[a] + n[b]) & (g[a] != g[b])
+        if lo != hi:
+            passed &= block[a] != block[b]
+        return passed & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+
+    if salt is not None:
+        u, v = forest(near, node, g, salt)
+    else:
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        found = ([], [])
+        for at in range(0, len(left), 64):
+            x, y = np.nonzero(near(left[at : at + 64], right))
+            found[0].append(node[left[at + x]])
+            found[1].append(node[right[y]])
+        u, v = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
+    big, small = np.maximum(u, v), np.minimum(u, v)
+    return pa.table({"u": pa.array(big, pa.int64()), "v": pa.array(small, pa.int64())})
+
+
 def crowded(members: DataFrame, maps: DataFrame, salt: int | None = None) -> DataFrame:
     """``u, v`` of one signature and different groups ``g`` that bitmaps do not rule out.
 
@@ -282,35 +333,7 @@ def crowded(members: DataFrame, maps: DataFrame, salt: int | None = None) -> Dat
         "block", "node", "n", "g", "bits",
     )
 
-    def compare(table: pa.Table) -> pa.Table:
-        block, node, n, g = (table.column(c).to_numpy() for c in ("block", "node", "n", "g"))
-        bits = table.column("bits").to_pylist()
-        width = min(map(len, bits))
-        maps = np.stack([folded(np.frombuffer(x, np.uint8), width) for x in bits])
-        maps = maps.view(np.uint64)
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-
-        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            a, b = a[:, None], b[None]
-            passed = _differ_little(maps[a], maps[b], n[a] + n[b]) & (g[a] != g[b])
-            if lo != hi:
-                passed &= block[a] != block[b]
-            return passed & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
-
-        if salt is not None:
-            u, v = forest(near, node, g, salt)
-        else:
-            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            found = ([], [])
-            for at in range(0, len(left), 64):
-                x, y = np.nonzero(near(left[at : at + 64], right))
-                found[0].append(node[left[at + x]])
-                found[1].append(node[right[y]])
-            u, v = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
-        big, small = np.maximum(u, v), np.minimum(u, v)
-        return pa.table({"u": pa.array(big, pa.int64()), "v": pa.array(small, pa.int64())})
-
-    return dealt.groupBy("sig", "lo", "hi").applyInArrow(compare, "u long, v long")
+    return dealt.groupBy("sig", "lo", "hi").applyInArrow(lambda table: compare_block(table, salt), "u long, v long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -352,18 +375,28 @@ def links(texts: DataFrame) -> DataFrame:
 
     ``texts`` has a distinct ``row`` for each text.
     """
-    shared, maps = _shared(texts)
-    least = shared.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("m"), F.count("*").alias("k"))
+    shared, maps, sizes = _shared(texts)
+    # Alike texts share a signature, so what has no size here is alike to no other.
+    near = (
+        by_fingerprint(texts)
+        .join(sizes.withColumnRenamed("node", "u"), "u")
+        .join(sizes.select(F.col("node").alias("v"), F.col("n").alias("m")), "v")
+        .filter(_sizes_fit(F.col("n"), F.col("m")))
+    )
+    found = verified(plausible(near, maps), texts)
+    # The exact way for what the fingerprints leave apart.
+    left = _open(shared, found)
+    least = left.groupBy("sig").agg(F.min(F.struct("node", "n", "g")).alias("m"))
     stars = (
-        shared.join(least.filter("k > 1"), "sig")
-        .filter(F.col("node") > F.col("m.node"))
+        left.drop("k")
+        .join(least, "sig")
+        .filter((F.col("node") > F.col("m.node")) & (F.col("g") != F.col("m.g")))
         .filter(_sizes_fit(F.col("n"), F.col("m.n")))
         .select(F.col("node").alias("u"), F.col("m.node").alias("v"), "n", F.col("m.n").alias("m"))
         .distinct()
     )
-    stars = verified(plausible(stars, maps), texts)
+    found = cut(found.unionByName(verified(plausible(stars, maps), texts)))
     # Pairs inside one group need no look; all others with a common signature do.
-    found, many = stars, None
     for salt in range(FORESTS):
         many = _open(shared, found).filter(F.col("k") > FEW)
         tree = cut(crowded(many, maps, salt).distinct())

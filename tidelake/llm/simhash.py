@@ -12,7 +12,8 @@ that can differ, which bounds what a bucket can hold. Out of a bucket comes one
 each member at most, never its pairs.
 
 A similarity of 0.8 between sets of five-word shingles is about ten bits of a fingerprint,
-too far for so many tables, and fingerprints cannot give that threshold; ``jaccard`` does.
+too far for so many tables, and fingerprints cannot give that threshold; ``jaccard`` verifies
+what they find and has an exact way for the rest.
 """
 
 from __future__ import annotations
