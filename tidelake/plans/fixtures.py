@@ -131,12 +131,9 @@ def customer_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_parts_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relation as a stored table."""
-
-    def rows() -> DataFrame:
-        return relation_rows(CUSTOMER_PARTS, customer_parts(spark, sf_dir))
-
-    return stored(spark, sf_dir, "customer-parts", rows)
+    """The relation as a stored table, whose ids and keys follow from what is stored."""
+    pairs = stored(spark, sf_dir, "customer-parts", lambda: customer_parts(spark, sf_dir))
+    return relation_rows(CUSTOMER_PARTS, pairs)
 
 
 def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
