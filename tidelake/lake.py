@@ -201,14 +201,13 @@ class Lake:
         """
         table = self.table(relation)
         done = relations.insert(table.spec, batch, table.scan(), now)
-        rows = cut(done.rows)
         rejected = cut(done.rejected)
         if bad_path is not None:
             rejected.write.mode("overwrite").parquet(bad_path)
         counts = Row(
-            inserted=rows.count(), repeats=done.repeats.count(), rejected=rejected.count()
+            inserted=done.rows.count(), repeats=done.repeats.count(), rejected=rejected.count()
         )
-        table.append(rows, now)
+        table.append(done.rows, now)
         return counts
 
     def unrelate(
@@ -220,8 +219,8 @@ class Lake:
     ) -> int:
         """Delete the associations a condition or a joined table selects."""
         table = self.table(relation)
-        targets = relations.delete_targets(table.scan(), where, other, on)
-        return table.remove(targets.filter(F.col("s3Key").isNotNull()))
+        other = relations.partners(other, on)
+        return table.remove_where(lambda rows: relations.split(rows, where, other, on))
 
     def edges(self) -> DataFrame:
         """Every (entity, relation) pair of every relation table."""
@@ -325,14 +324,16 @@ class Lake:
         self._settle(now, request.select("taskId"))
         table, results = self.table(relation), f"{self.root}/results"
         try:
-            due = relations.delete_targets(table.scan(), where, other, on)
-            due = due.filter(F.col("s3Key").isNotNull()).select("relationId")
+            base, other = table.manifest(), relations.partners(other, on)
+            due, _ = relations.split(table.scan(version=base.version), where, other, on)
             # Each attempt stores what it selects beside the others, so none is ever lost.
-            attempts = f"{self.root}/deletions/{source_id(run_id)}"
-            due.write.parquet(f"{attempts}/attempt={uuid.uuid4().hex}")
-            every = self.spark.read.parquet(attempts).select("relationId").distinct()
-            save_result(every, results, run_id)
-            table.remove(load_result(self.spark, results, run_id))
+            attempts, own = f"{self.root}/deletions/{source_id(run_id)}", uuid.uuid4().hex
+            due.select("relationId").write.parquet(f"{attempts}/attempt={own}")
+            every = self.spark.read.parquet(attempts)
+            save_result(every.select("relationId").distinct(), results, run_id)
+            table.remove_where(lambda rows: relations.split(rows, where, other, on), base)
+            if not every.filter(F.col("attempt") != own).isEmpty():
+                table.remove(load_result(self.spark, results, run_id))
         except Exception:
             self._close(run_id, runs.FAILED, now)
             raise

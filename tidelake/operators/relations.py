@@ -47,6 +47,26 @@ def _members(
     )
 
 
+def packed(spec: RelationSpec, rows: DataFrame) -> DataFrame:
+    """The rows without ids and keys that follow from their members, which ``unpacked`` gives back.
+
+    Both are most of a row and hardly compress, so a shuffle of whole rows moves them packed.
+    Those that do not follow, as records may carry their own, stay.
+    """
+    key = storage_key(spec, F.col("createdAt"), F.col(ID))
+    return rows.withColumns(
+        {"_id": F.col(ID).eqNullSafe(relation_id(spec)), "_key": F.col("s3Key").eqNullSafe(key)}
+    ).withColumns({c: F.when(~F.col(f), F.col(c)) for c, f in ((ID, "_id"), ("s3Key", "_key"))})
+
+
+def unpacked(spec: RelationSpec, rows: DataFrame) -> DataFrame:
+    """What was ``packed``, with its own ids and keys."""
+    rows = rows.withColumn(ID, F.when(F.col("_id"), relation_id(spec)).otherwise(F.col(ID)))
+    key = storage_key(spec, F.col("createdAt"), F.col(ID))
+    rows = rows.withColumn("s3Key", F.when(F.col("_key"), key).otherwise(F.col("s3Key")))
+    return rows.drop("_id", "_key")
+
+
 def _derived(spec: RelationSpec, members: DataFrame) -> DataFrame:
     """Add what follows from the members: the id and the storage key."""
     rows = members if ID in members.columns else members.withColumn(ID, relation_id(spec))
@@ -107,21 +127,28 @@ def insert(
 
     The stored table is only probed for the ids of the batch, one narrow column and no
     shuffle while those ids fit the broadcast threshold; the much smaller answer is
-    then taken out of the batch. ``reuse`` stores the reduced batch, which both outcomes
-    need, and so makes its size known.
+    then taken out of the batch. ``reuse`` stores the members of the reduced batch and
+    that answer, which both outcomes need, and so makes their sizes known.
     """
     members = _members(spec, batch, now)
     whole = complete(spec)
-    first = _derived(spec, first_per_relation(spec, members.filter(whole)))
+    first = first_per_relation(spec, members.filter(whole))
     rejected = members.filter(~whole)
     if existing is None:
-        return Inserted(first, first.filter(F.lit(False)), rejected)
+        rows = _derived(spec, first)
+        return Inserted(rows, rows.filter(F.lit(False)), rejected)
     if reuse:
         first = cut(first)
+        if existing.isEmpty():
+            rows = _derived(spec, first)
+            return Inserted(rows, rows.filter(F.lit(False)), rejected)
+    if ID not in first.columns:
+        first = first.withColumn(ID, relation_id(spec))
     present = existing.select(ID).join(first.select(ID), ID, "left_semi")
-    return Inserted(
-        first.join(present, ID, "left_anti"), first.join(present, ID, "left_semi"), rejected
-    )
+    if reuse:
+        present = cut(present)
+    rows, repeats = (first.join(present, ID, how) for how in ("left_anti", "left_semi"))
+    return Inserted(_derived(spec, rows), _derived(spec, repeats), rejected)
 
 
 def edges(spec: RelationSpec, rel: DataFrame) -> DataFrame:
@@ -159,28 +186,63 @@ def members_of(all_edges: DataFrame, relation_ids: DataFrame) -> DataFrame:
     return all_edges.join(relation_ids.select(ID), ID, "left_semi")
 
 
+def partners(other: DataFrame | None, on: Column | list[str] | None) -> DataFrame | None:
+    """The columns that a joined table is met by, stored, so that their size is known."""
+    return cut(other.select(*on)) if other is not None and isinstance(on, list) else other
+
+
 def delete_targets(
     rel: DataFrame,
     where: Column | str | None = None,
     other: DataFrame | None = None,
     on: Column | list[str] | None = None,
+    reuse: bool = True,
 ) -> DataFrame:
     """Relations a delete statement names, as (s3Key, relationId).
 
     ``other`` is the joined table, already filtered. It only decides which relations
-    match, so one with many partners is still named once.
+    match, so one with many partners is still named once. ``reuse`` stores its ``partners``.
     """
+    return _selected(rel, where, partners(other, on) if reuse else other, on).select("s3Key", ID)
+
+
+def _selected(
+    rel: DataFrame,
+    where: Column | str | None,
+    other: DataFrame | None,
+    on: Column | list[str] | None,
+) -> DataFrame:
     hit = rel if where is None else rel.filter(where)
+    return hit if other is None else hit.join(other, on, "left_semi")
+
+
+def split(
+    rel: DataFrame,
+    where: Column | str | None = None,
+    other: DataFrame | None = None,
+    on: Column | list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows a delete statement removes, and the others: those without a key always stay."""
+    due = F.col("s3Key").isNotNull()
+    if where is not None:
+        due = due & (F.expr(where) if isinstance(where, str) else where)
+    due = F.coalesce(due, F.lit(False))
+    rest = rel.filter(~due)
     if other is not None:
-        hit = hit.join(other, on, "left_semi")
-    return hit.select("s3Key", ID)
+        rest = rest.unionByName(rel.filter(due).join(other, on, "left_anti"))
+    return _selected(rel.filter(due), None, other, on), rest
 
 
 def apply_delete(
-    rel: DataFrame, all_edges: DataFrame, targets: DataFrame
+    rel: DataFrame, all_edges: DataFrame, targets: DataFrame, reuse: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Take the targets out of the relation and all of their edges out of the index."""
+    """Take the targets out of the relation and all of their edges out of the index.
+
+    Both need them; ``reuse`` stores them once.
+    """
     gone = targets.filter(F.col("s3Key").isNotNull() & F.col(ID).isNotNull()).select(ID)
+    if reuse:
+        gone = cut(gone)
     return rel.join(gone, ID, "left_anti"), all_edges.join(gone, ID, "left_anti")
 
 
@@ -205,8 +267,11 @@ def cascade(
     """Remove every relation of the deleted entities, in every table, with all its edges.
 
     Edges of the surviving partners go too. The set of doomed relations feeds one join
-    per table; ``reuse`` stores it once instead of recomputing it for each.
+    per table; ``reuse`` stores it once instead of recomputing it for each, and before it the
+    deleted, whose size is then known to the join with all edges.
     """
+    if reuse:
+        deleted = cut(deleted.select("entityType", "entityId"))
     doomed = doomed_relations(deleted, all_edges)
     if reuse:
         doomed = cut(doomed)

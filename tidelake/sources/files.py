@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelake.operators.relations import packed, unpacked
 from tidelake.specs import PARTITIONS, EntitySpec, RelationSpec, ResponseSpec
 
 TableSpec = EntitySpec | RelationSpec
@@ -62,21 +63,27 @@ def scan_nanos(spark: SparkSession, spec: TableSpec, root: str) -> DataFrame:
     return df.select(*[micros[c].alias(c) if c in stamps else F.col(c) for c in df.columns])
 
 
-def arrange(df: DataFrame, sort_key: str | None = None) -> DataFrame:
+def arrange(
+    df: DataFrame, sort_key: str | None = None, relation: RelationSpec | None = None
+) -> DataFrame:
     """Bring the rows of one date together before a partitioned write.
 
     A rebalance, not a repartition: adaptive execution splits a date that holds far
     more rows than the others over several tasks and joins small dates. Sorting by
-    key inside a file makes its row-group statistics useful for point reads.
+    key inside a file makes its row-group statistics useful for point reads. Rows of a
+    ``relation`` move without the ids and keys that follow from the rest.
     """
-    spread = df.hint("rebalance", *PARTITIONS)
+    spread = (packed(relation, df) if relation else df).hint("rebalance", *PARTITIONS)
+    if relation:
+        spread = unpacked(relation, spread)
     return spread.sortWithinPartitions(*PARTITIONS, *([sort_key] if sort_key else []))
 
 
 def write_lake(df: DataFrame, spec: TableSpec, path: str, mode: str = "append") -> None:
     """Write typed rows under ``year=/month=/day=`` as SNAPPY Parquet."""
+    relation = spec if isinstance(spec, RelationSpec) else None
     (
-        arrange(df.select(*spec.columns, *PARTITIONS), spec.key)
+        arrange(df.select(*spec.columns, *PARTITIONS), spec.key, relation)
         .write.mode(mode)
         .option("compression", "snappy")
         .option("partitionOverwriteMode", "static")

@@ -272,6 +272,21 @@ class LakeTable:
             base, touched, lambda old: old.join(keys, self.spec.key, "left_anti")
         )
 
+    def remove_where(
+        self, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], base: Manifest | None = None
+    ) -> int:
+        """Delete the rows that a condition selects, in the newest version or in ``base``.
+
+        ``split`` parts rows, with their dates, into those to remove and the others. No key
+        is sought in the table, so its rows are only moved where the condition moves them.
+        """
+        base = base or self.manifest()
+        hit, _ = split(self._read(base, lambda day: True))
+        touched = {tuple(r) for r in hit.select(*PARTITIONS).distinct().collect()}
+        if not touched:
+            return base.version
+        return self._rewrite(base, touched, lambda old: split(old)[1])
+
     # -- maintenance ---------------------------------------------------------
 
     def compact(self, where: Callable[[Day], bool] = lambda day: True) -> int:

@@ -43,8 +43,7 @@ def start_relate(
         done = relations.insert(spec, cut(batch), table.scan(), now)
         attempt = f"source={source_id(source)}/batch={number}"
         done.rejected.write.mode("overwrite").parquet(f"{bad_path}/{attempt}")
-        rows = cut(done.rows)
-        if not rows.isEmpty():
-            table.append(rows, now)
+        if not done.rows.isEmpty():
+            table.append(done.rows, now)
 
     return for_each_batch(once, checkpoint, apply)
