@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidelake.operators import entities, queries, relations, runs
-from tidelake.operators.entities import last_change
-from tidelake.operators.ingest import relation_changes, sound, typed_changes, with_route
-from tidelake.session import configure, cut
+from tidelake.operators.ingest import REMOVE, dealt, dealt_rows, dealt_unknown
+from tidelake.session import configure, cut, split_code
 from tidelake.sources.files import load_result, save_result
 from tidelake.sources.journal import Journal, source_id
 from tidelake.sources.lake import LakeTable
@@ -134,35 +133,28 @@ class Lake:
         """
         if batch is not None and self.journal.done(source, batch):
             return
-        # Routed and stored once; every table then reads and parses only its own part.
-        # The folder names come from the declared tables, never from the records.
-        entity = F.col("_route") == "entity"
-        known = F.when(entity, F.col("_table").isin(*self.entities)).otherwise(
-            F.col("_table").isin(*self.relations)
-        )
-        named = with_route(changes).withColumn(
-            "_table", F.when(F.coalesce(known, F.lit(False)), F.col("_table")).otherwise("_unknown")
-        )
-        routed = cut(named, "_route", "_table")
+        # Parsed, typed and stored once; every table then reads only its own part. The folder
+        # names are numbers of declared tables and never come from the records.
+        every = dealt(changes, self.entities.values(), self.relations.values())
+        with split_code(every.sparkSession):
+            rows = cut(every, "_slot", "_sound")
         attempt = f"source={source_id(source)}/batch={uuid.uuid4().hex if batch is None else batch}"
-        unknown = routed.filter(F.col("_table") == "_unknown")
-        unknown.write.mode("overwrite").parquet(f"{bad_path}/_unknown/{attempt}")
+        dealt_unknown(rows).write.mode("overwrite").parquet(f"{bad_path}/_unknown/{attempt}")
         gone = []
-        for name, spec in self.entities.items():
-            good = self._accept(typed_changes(routed, spec), spec, f"{bad_path}/{name}/{attempt}")
-            last = last_change(good, spec.key).filter(F.col("op") == "REMOVE")
-            gone.append(
-                cut(
-                    last.select(
+        for slot, (name, spec) in enumerate([*self.entities.items(), *self.relations.items()]):
+            bad = dealt_rows(rows, spec, slot, sound=False)
+            bad.write.mode("overwrite").parquet(f"{bad_path}/{name}/{attempt}")
+            table = self.table(name)
+            last = table.reduced(dealt_rows(rows, spec, slot, sound=True), now)
+            if slot < len(self.entities):
+                removed = last.filter(F.col("op") == REMOVE)
+                gone.append(
+                    removed.select(
                         F.lit(name).alias("entityType"),
                         F.col(spec.key).cast("string").alias("entityId"),
                     )
                 )
-            )
-            self.table(name).merge(good, now, batch=batch, source=source)
-        for name, spec in self.relations.items():
-            good = self._accept(relation_changes(routed, spec), spec, f"{bad_path}/{name}/{attempt}")
-            self.table(name).merge(good, now, batch=batch, source=source)
+            table.merge_reduced(last, batch, source)
         if gone and self.relations:
             self.cascade(cut(reduce(DataFrame.unionByName, gone).distinct()))
         if batch is not None:
@@ -182,14 +174,6 @@ class Lake:
             lambda rows, number, source: self.apply(rows, now, bad_path, number, source),
         )
 
-    def _accept(
-        self, typed: DataFrame, spec: EntitySpec | RelationSpec, bad_path: str
-    ) -> DataFrame:
-        """The clean rows; the others are stored with what is wrong with them."""
-        good, bad = sound(typed, spec)
-        bad.write.mode("overwrite").parquet(bad_path)
-        return good
-
     # -- relations -----------------------------------------------------------
 
     def relate(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +59,13 @@ def _plain_text(a: str) -> Column:
     )
 
 
+def _value(a: str, field: Field) -> Column:
+    """A parsed attribute as ``decode`` gives it."""
+    if field.name in SYSTEM_FIELDS:
+        return F.col(f"{a}.S")
+    return _members(a) if field.is_list else _plain_text(a)
+
+
 def pick_image(df: DataFrame) -> DataFrame:
     """Add ``image``: the old one for a removal, the new one otherwise."""
     return df.withColumn(
@@ -78,13 +85,7 @@ def decode(
     fields = list(fields)
     cols = [c for c in df.columns if c != image and c not in {f.name for f in fields}]
     parsed = _parse(df, fields, image, cols)
-    values = []
-    for i, f in enumerate(fields):
-        if f.name in SYSTEM_FIELDS:
-            value = F.col(f"_a{i}.S")
-        else:
-            value = _members(f"_a{i}") if f.is_list else _plain_text(f"_a{i}")
-        values.append(value.alias(f.name))
+    values = [_value(f"_a{i}", f).alias(f.name) for i, f in enumerate(fields)]
     named = []
     if presence:
         flags = [(f.name, F.col(f"_a{i}").isNotNull()) for i, f in enumerate(fields)]
@@ -98,7 +99,8 @@ def _parse(df: DataFrame, fields: list[Field], image: str, keep: list[str]) -> D
     ``inline`` keeps the optimizer from repeating ``from_json`` inside every later
     expression and filter that reads one of the attributes.
     """
-    wanted = ",".join(f"`{f.name}`:{ATTRIBUTE}" for f in fields)
+    kinds = ("struct<S:string>" if f.name in SYSTEM_FIELDS else ATTRIBUTE for f in fields)
+    wanted = ",".join(f"`{f.name}`:{kind}" for f, kind in zip(fields, kinds, strict=True))
     names = [f"_a{i}" for i in range(len(fields))]
     whole = F.array(F.from_json(F.col(image), f"struct<{wanted}>"))
     return df.select(*keep, F.inline(whole).alias(*names))
@@ -152,13 +154,16 @@ def split_required(
 
     A removal needs its key only, and the dates that writing sets are not asked for.
     """
+    return quarantine(df.withColumn("_cast_errors", _missing(spec, F.col, F.col("op"))))
+
+
+def _missing(
+    spec: EntitySpec | RelationSpec, value: Callable[[str], Column], op: Column
+) -> Column:
+    """Names of the required fields a change lacks."""
     asked = [f for f in spec.fields if f.required and f.name not in ("createdAt", "updatedAt")]
-    missing = names_where([(f.name, F.col(f.name).isNull()) for f in asked])
-    marked = df.withColumn(
-        "_cast_errors",
-        F.when(F.col("op") == REMOVE, F.array().cast("array<string>")).otherwise(missing),
-    )
-    return quarantine(marked)
+    missing = names_where([(f.name, value(f.name).isNull()) for f in asked])
+    return F.when(op == REMOVE, F.array().cast("array<string>")).otherwise(missing)
 
 
 def sound(typed: DataFrame, spec: EntitySpec | RelationSpec) -> tuple[DataFrame, DataFrame]:
@@ -281,24 +286,128 @@ def route(df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def with_route(df: DataFrame) -> DataFrame:
-    """Change records with ``_route`` and ``_table``, their image still encoded.
-
-    Stored by these two columns, a batch can feed many tables and each reads and parses
-    only its own records.
+def dealt(
+    df: DataFrame, entities: Iterable[EntitySpec], relations: Iterable[RelationSpec]
+) -> DataFrame:
+    """Change records for many tables in one pass: each image is parsed once, for the fields of
+    all tables, and typed as its own table only.
+
+    ``_slot`` numbers the tables, entities first; records of a name that is not declared as
+    what they say they are have -1, and only these keep their image. ``_t<slot>`` holds the
+    fields as ``typed_changes`` and ``relation_changes`` type them, and as ``_cast_errors``
+    what is wrong with them; ``_sound`` tells whether nothing is, as ``sound`` would.
+    Stored by slot and soundness, each table reads its own rows and no others.
     """
-    system = [Field(n, "String") for n in SYSTEM_FIELDS]
+    specs = [*entities, *relations]
     picked = pick_image(df).drop("key", "old_image", "new_image")
-    routed = decode(picked.withColumn("_body", F.col("image")), system)
-    kind = F.when(route_of() == "entity", F.col("entityType")).otherwise(
-        F.coalesce(F.col("joinTableName"), F.col("joinTable"))
+    system = [Field(n, "String") for n in SYSTEM_FIELDS]
+    declared = {f.name: f for s in specs for f in s.fields if f.name not in SYSTEM_FIELDS}
+    wanted = [*system, *declared.values()]
+    at = {f.name: f"_a{i}" for i, f in enumerate(wanted)}
+    rest = [c for c in picked.columns if c != "image" and c not in SYSTEM_FIELDS]
+    feed = picked.withColumns({f"_feed{i}": F.col(c) for i, c in enumerate(rest)})
+    carried = [f"_feed{i}" for i in range(len(rest))]
+    parsed = _parse(feed, wanted, "image", [*carried, "op", "image"])
+    named = parsed.select(
+        "*", *[_value(at[f.name], f).alias(f.name) for f in system]
+    ).withColumn("_route", route_of()).filter(F.col("_route") != "dropped")
+    is_entity = F.col("_route") == "entity"
+    table = F.lower(
+        F.when(is_entity, F.col("entityType")).otherwise(
+            F.coalesce(F.col("joinTableName"), F.col("joinTable"))
+        )
     )
-    return routed.select(
-        *[c for c in routed.columns if c != "_body"],
-        F.col("_body").alias("image"),
-        route_of().alias("_route"),
-        F.lower(kind).alias("_table"),
-    ).filter(F.col("_route") != "dropped")
+    slot = F.lit(-1)
+    for i, s in reversed(list(enumerate(specs))):
+        due = is_entity if isinstance(s, EntitySpec) else ~is_entity
+        slot = F.when(due & (F.col("_table") == s.table), F.lit(i)).otherwise(slot)
+    routed = named.withColumn("_table", table).withColumn("_slot", slot)
+
+    def own(i: int, columns: list[Column]) -> Column:
+        return F.when(F.col("_slot") == i, F.struct(*columns))
+
+    # As in ``enforce``: raw values first, casts second, what was lost third, so that nothing is
+    # written out twice. The structs keep the three apart and spare a row the other tables.
+    raws = [_raw_values(s, at) for s in specs]
+    unknown = [*SYSTEM_FIELDS, "image", "_route", "_table"]
+    raw = routed.select(
+        *carried,
+        "op",
+        "_slot",
+        own(-1, [F.col(c) for c in unknown]).alias("_unknown"),
+        *[own(i, [v.alias(n) for n, v in r.items()]).alias(f"_r{i}") for i, r in enumerate(raws)],
+    )
+    cast = []
+    for i, s in enumerate(specs):
+        before = raw.schema[f"_r{i}"].dataType
+        kinds = {f.name: f.dataType for f in before.fields}
+        values = [typed(F.col(f"_r{i}.{f.name}"), kinds[f.name], f).alias(f.name) for f in s.fields]
+        cast.append(own(i, values).alias(f"_c{i}"))
+    both = raw.select("*", *cast)
+    done = [
+        own(i, [*(F.col(f"_c{i}.{c}") for c in s.columns), _faults(s, i, raw).alias("_cast_errors")])
+        for i, s in enumerate(specs)
+    ]
+    checked = both.select(
+        *carried, "_slot", "_unknown", *[d.alias(f"_t{i}") for i, d in enumerate(done)]
+    )
+    sound = F.lit(False)
+    for i in range(len(specs)):
+        sound = F.when(F.col("_slot") == i, F.size(f"_t{i}._cast_errors") == 0).otherwise(sound)
+    return checked.select(
+        *[F.col(c).alias(f"_feed_{n}") for c, n in zip(carried, rest, strict=True)],
+        *checked.columns[len(carried) :],
+        sound.alias("_sound"),
+    )
+
+
+def _raw_values(spec: EntitySpec | RelationSpec, at: dict[str, str]) -> dict[str, Column]:
+    """The declared fields of one table as decoded, before any cast."""
+    values = {}
+    for f in spec.fields:
+        values[f.name] = F.col(f.name) if f.name in SYSTEM_FIELDS else _value(at[f.name], f)
+    if isinstance(spec, RelationSpec):
+        values["relationId"] = _own_id()
+    elif "relationId" in values:  # that of a relation, not of an entity
+        values["relationId"] = F.lit(None).cast("string")
+    return values
+
+
+def _faults(spec: EntitySpec | RelationSpec, i: int, raw: DataFrame) -> Column:
+    """What is wrong with a change: fields lost in a cast and a missing key, else the required
+    fields it lacks."""
+    kinds = {f.name: f.dataType for f in raw.schema[f"_r{i}"].dataType.fields}
+    lost = [
+        (f.name, lost_in_cast(F.col(f"_r{i}.{f.name}"), F.col(f"_c{i}.{f.name}"), f))
+        for f in spec.fields
+        if kinds[f.name] != f.data_type
+    ]
+
+    def value(name: str) -> Column:
+        return F.col(f"_c{i}.{name}")
+
+    wrong = F.array_union(names_where(lost), names_where([(spec.key, value(spec.key).isNull())]))
+    op = value("op") if "op" in spec.columns else F.col("op")
+    return F.when(F.size(wrong) > 0, wrong).otherwise(_missing(spec, value, op))
+
+
+def dealt_rows(rows: DataFrame, spec: EntitySpec | RelationSpec, slot: int, sound: bool) -> DataFrame:
+    """The changes of one table among what was ``dealt``: clean ones, or the others with what
+    is wrong with them."""
+    mine = rows.filter((F.col("_slot") == slot) & (F.col("_sound") == F.lit(sound)))
+    found = mine.select(*_fed(rows, spec.columns), f"_t{slot}.*")
+    return found.drop("_cast_errors") if sound else found
+
+
+def dealt_unknown(rows: DataFrame) -> DataFrame:
+    """The records of no declared table, images still encoded."""
+    return rows.filter(F.col("_slot") == -1).select(*_fed(rows, []), "_unknown.*")
+
+
+def _fed(rows: DataFrame, hidden: list[str]) -> list[Column]:
+    """What came with the records beside the image, but for names that a table declares."""
+    names = [c.removeprefix("_feed_") for c in rows.columns if c.startswith("_feed_")]
+    return [F.col(f"_feed_{n}").alias(n) for n in names if n not in hidden]
 
 
 def typed_changes(df: DataFrame, spec: EntitySpec) -> DataFrame:
@@ -306,7 +415,6 @@ def typed_changes(df: DataFrame, spec: EntitySpec) -> DataFrame:
 
     One columnar pass: pick the image, decode the declared attributes, keep this
     entity, cast. No shuffle. A row without a key is an error like a failed cast.
-    Takes change records as they come or after ``with_route``.
     """
     mine = _of_table(df, spec, ("entity",))
     return _typed(mine.drop("relationId"), spec)
@@ -319,9 +427,13 @@ def relation_changes(df: DataFrame, spec: RelationSpec) -> DataFrame:
     both key halves. Only those can be removed by a change record.
     """
     mine = _of_table(df, spec, ("relation", "legacy_relation"))
+    return _typed(mine.withColumn("relationId", _own_id()), spec)
+
+
+def _own_id() -> Column:
+    """The id of a relation's record, made from both key halves where it was written the old way."""
     old = legacy_key(F.col("PK"), F.col("SK"))
-    rid = F.when(F.col("_route") == "relation", F.col("relationId")).otherwise(old)
-    return _typed(mine.withColumn("relationId", rid), spec)
+    return F.when(F.col("_route") == "relation", F.col("relationId")).otherwise(old)
 
 
 def _of_table(
@@ -329,9 +441,6 @@ def _of_table(
 ) -> DataFrame:
     """Decoded records of one table, with their system attributes and ``_route``."""
     declared = [f for f in spec.fields if f.name not in SYSTEM_FIELDS]
-    if "_route" in df.columns:
-        mine = df.filter(F.col("_route").isin(*routes) & (F.col("_table") == spec.table))
-        return decode(mine.drop("_table"), declared)
     images = pick_image(df).drop("key", "old_image", "new_image")
     decoded = decode(images, [Field(n, "String") for n in SYSTEM_FIELDS] + declared)
     name = F.coalesce(F.col("joinTableName"), F.col("joinTable"))

@@ -91,6 +91,20 @@ def cut(df: DataFrame, *partition_by: str, keep: bool = False, codec: str | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def split_code(spark: SparkSession) -> Iterator[None]:
+    """For jobs with very many expressions a row. The JVM never compiles a method beyond 8,000
+    bytes, so a whole stage in one method would be interpreted; Spark then generates its
+    projections by themselves, in small methods."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what ``cut`` stores inside, as a long chain of steps needs only

@@ -225,12 +225,22 @@ class LakeTable:
         a batch without changes publishes nothing. Batches must come in their order: what
         is stored has no order columns to tell an older batch by.
         """
+        if batch is not None and self.applied(source, batch):
+            return self.manifest().version
+        return self.merge_reduced(self.reduced(changes, now, order), batch, source)
+
+    def reduced(
+        self, changes: DataFrame, now: datetime | str | Column, order: Iterable[str] = CHANGE_ORDER
+    ) -> DataFrame:
+        """Typed changes as one dated row per changed key, stored, as several jobs use it."""
+        return cut(with_partitions(last_change(changes, self.spec.key, order), now))
+
+    def merge_reduced(self, last: DataFrame, batch: int | None = None, source: str = "") -> int:
+        """``merge`` for changes that are ``reduced`` already."""
         base = self.manifest()
         if batch is not None and self.applied(source, batch, base):
             return base.version
         key = self.spec.key
-        # Reduced to one row per changed key, stored once, used by two jobs.
-        last = cut(with_partitions(last_change(changes, key, order), now))
         if last.isEmpty():
             return base.version
         alive = last.filter(F.col("op") != REMOVE).select(*self.spec.columns, *PARTITIONS)
