@@ -236,3 +236,45 @@ def test_a_block_of_long_texts_is_compared_in_bounded_steps(monkeypatch):
     )
     assert jaccard.compare_block(table, None).num_rows == 0
     assert max(a * b * c for a, b, c in largest) <= max(1 << 12, n * width // 8)
+
+
+def test_workers_forget_the_words_of_packing(spark):
+    """What packing remembers is not in the way of the stages that use its workers later."""
+    from tidelake.llm import packing, substrings, workers
+
+    ready(spark)
+    rows = [(i, f"w{i} " * 60, "en", "s", 0) for i in range(640)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.repartition(64)
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(workers._KEPT.get("packing", ()))]})
+
+    def remembering():
+        return spark.range(0, 64, 1, 64).mapInArrow(held, "n long").agg({"n": "sum"}).first()[0]
+
+    for later in (lambda: toxicity.score(docs, None), lambda: substrings.remove(docs)):
+        packing.pieces(docs, packing_words(), ids=False).write.format("noop").mode("overwrite").save()
+        assert remembering()
+        later().write.format("noop").mode("overwrite").save()
+        assert not remembering()
+
+
+def packing_words():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_packing_takes_a_batch_in_slices():
+    from tidelake.llm import packing
+
+    rng = random.Random(3)
+    texts = [None, ""] + [f"t{i} " * rng.choice([1, 50_000, 400_000]) for i in range(60)] + [None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    parts = list(packing._taken(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    longest = max(len(t or "") for t in texts)
+    assert all(sum(len(t or "") for t in p.column("text").to_pylist()) <= packing.TAKEN + longest for p in parts)
+    assert list(packing._taken(batch.slice(0, 0))) == []

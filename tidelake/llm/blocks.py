@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.llm.workers import forget
 from tidelake.session import cut
 
 BLOCK_BYTES = 8 << 20
@@ -170,6 +171,7 @@ def write_blocks(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         task, made = TaskContext.get().partitionId(), 0
         open_blocks: dict[int, list] = {}
 
@@ -259,6 +261,7 @@ def ask(
     if answers is None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in batches:
                 for block, part, payload in zip(
                     *(batch.column(c).to_pylist() for c in ("block", "part", "payload")),
@@ -286,6 +289,7 @@ def answer(
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         shard = table.column("shard")[0].as_py()
         blocks, parts = table.column("block").to_pylist(), table.column("part").to_pylist()
         answers = reply(blocks, parts, table.column("keys").to_pylist())
@@ -305,6 +309,7 @@ def with_answers(
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        forget()
         got = {
             (k, s): a
             for k, s, a in zip(

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from tidelake.llm import blocks as B
 from tidelake.llm import simhash
 from tidelake.llm.simhash import components
+from tidelake.llm.workers import forget
 from tidelake.session import cut, scratch
 
 WIDTH = 5
@@ -340,6 +341,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows ``u, v`` of ``pairs`` whose shingle sets are alike in 0.8."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             value, doc = shingles(B.texts_of(pa.Table.from_batches([batch])))
             edges = np.searchsorted(doc, np.arange(batch.num_rows + 1))
@@ -436,6 +438,7 @@ def copies(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = B.texts_of(pa.Table.from_batches([batch]))
             words = (b" ".join((t or b"").lower().split()) for t in texts)

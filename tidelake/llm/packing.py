@@ -20,11 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.blocks import pack as pack_ints
 from tidelake.llm.blocks import unpack as unpack_ints
+from tidelake.llm.workers import forget, kept
 from tidelake.session import cut
 
 CAPACITY = 4096
@@ -32,9 +34,9 @@ END_ID = 1
 SHARD_ITEMS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 4, 12
 #: A bin filled to this share is final.
 WELL_FILLED = 0.995
-CACHED = 700_000
+#: Words that a worker remembers at most, words asked at a time, and bytes of text taken at a time.
+CACHED, ASKED, TAKEN = 450_000, 8192, 4 << 20
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-_TOKENIZERS: dict[str, _Words] = {}
 
 
 # ---------------------------------------------------------------- tokens
@@ -68,9 +70,11 @@ class _Words(dict):
             new = words
         stems = {word: self._stem(word) for word in new}
         ask = list(set(stems.values()) - self.keys())
-        found = self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)
-        for stem, encoding in zip(ask, found, strict=True):
-            self[stem] = array("I", encoding.ids).tobytes()
+        for at in range(0, len(ask), ASKED):
+            some = ask[at : at + ASKED]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            for stem, encoding in zip(some, found, strict=True):
+                self[stem] = array("I", encoding.ids).tobytes()
         for word, stem in stems.items():
             if word != stem:
                 left = word[len(stem) :]
@@ -93,14 +97,12 @@ class _Words(dict):
 
 def _encoded(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text: the tokenizer drops white space and never merges across it."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = _Words(path)
-    words = _TOKENIZERS[path]
+    words = kept("packing", path, _Words)
     out = []
     begin = size = 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= 4 << 20 or i == len(texts) - 1:
+        if size >= TAKEN or i == len(texts) - 1:
             gc.disable()  # millions of small objects and no cycles
             parts = [t.replace("\n", " ").split(" ") for t in texts[begin : i + 1]]
             words.learn(set().union(*parts))
@@ -110,6 +112,15 @@ def _encoded(path: str, texts: list[str]) -> list[bytes]:
     return out
 
 
+def _taken(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of ``TAKEN`` bytes of text and the text that passes that, about."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // TAKEN
+    edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield batch.slice(a, b - a)
+
+
 def pieces(
     docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = True
 ) -> DataFrame:
@@ -123,7 +134,7 @@ def pieces(
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _taken(whole)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
             for doc, data in zip(
@@ -250,6 +261,7 @@ def _pack_shard(items: DataFrame, capacity: int, shards: int, seed: int) -> Data
     shard_schema = "shard long, rows binary, sizes binary"
 
     def gather(table: pa.Table) -> pa.Table:
+        forget()  # the texts are encoded by now
         order = np.argsort(table.column("row").to_numpy())
         rows, sizes = (table.column(c).to_numpy()[order] for c in ("row", "length"))
         return pa.table(
@@ -269,6 +281,7 @@ def _pack_shard(items: DataFrame, capacity: int, shards: int, seed: int) -> Data
     for epoch in range(EPOCHS):
 
         def run(batches: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in batches:
                 out = []
                 for row in batch.to_pylist():
@@ -312,6 +325,7 @@ def _placed(solved: DataFrame, capacity: int, round_no: int, last: bool) -> Data
     schema = "row long, length long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for r in batch.to_pylist():
                 rows, sizes, places = (

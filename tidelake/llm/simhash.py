@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.llm.workers import forget
 from tidelake.session import cut
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -64,6 +65,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             bits = [_fingerprint(t, width) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(

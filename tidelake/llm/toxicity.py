@@ -26,6 +26,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidelake.llm.blocks import Words, hash_windows, hash_words, mix
 from tidelake.llm.lm import remainder
+from tidelake.llm.workers import forget
 
 CLEAN_ROWS, TOXIC_ROWS, TRAIN_BYTES = 1800, 600, 32 << 20
 WINDOW, STRIDE = 48, 32
@@ -480,6 +481,7 @@ def train(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, size = [], 0
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))
@@ -524,6 +526,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = scores(shared.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
