@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -231,6 +232,58 @@ def test_tokens_of_all_letters_before_marks():
     assert wrong == []
 
 
+class Asked:
+    """A tokenizer that counts the words it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.words = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.words += sum(len(t.split()) - t.split().count("0") for t in texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_packing_asks_for_a_word_once(monkeypatch):
+    """Some 360,000 words fit into what a worker remembers, which stays small."""
+    words = packing._Words(WORDS)
+    asked = words.tokenizer = Asked(words.tokenizer)
+    monkeypatch.setattr(packing, "kept", lambda *_: words)
+    letters = "abcdefghijklmnopqrst"
+    some = ["".join(c) for c in product(letters, letters, letters, letters, "xyz")]
+    many, few = " ".join(some[:240_000]), " ".join(some[240_000:360_000])
+    first = packing._encoded(WORDS, [many])
+    packing._encoded(WORDS, [few])
+    assert packing._encoded(WORDS, [many]) == first
+    assert 360_000 <= asked.words <= 361_000
+
+
+@pytest.mark.parametrize("remembered", [0, 400, 4000, 1 << 20])
+def test_packing_forgets_words_and_still_has_their_ids(monkeypatch, remembered):
+    words = packing._Words(WORDS)
+    monkeypatch.setattr(packing, "kept", lambda *_: words)
+    monkeypatch.setattr(packing, "REMEMBERED", remembered, raising=False)
+    tokenizer = Tokenizer.from_file(WORDS)
+    odd = [
+        "", " ", "0", "00", "10", "a0", "0.", "x00 0 y", "..", "a.", "A.!", "It's", "IT'S.", "don't,", "a-b;",
+        "<|endoftext|>", "a<|startoftext|>.", "x<|endoftext|>0", "<|ENDOFTEXT|>", "\u0130.", "\u0301x", "e\u0301.",
+        "\u1100\u1161!", "tab\tb.", "\r\n0\n", "\u2028a", "\u00a00", "\uff10", "\u0660.", "\u212a.", "\u037e", "\U0001f600!",
+    ]
+    rng = random.Random(5)
+    for _ in range(40):
+        texts = [
+            rng.choice([" ", "\n", "  "]).join(
+                rng.choice([rng.choice(odd), f"{rng.choice('abcXYZ')}{rng.randrange(300)}", chr(rng.randrange(97, 500)) * 2 + "!"])
+                for _ in range(rng.randrange(60))
+            )
+            for _ in range(rng.randrange(1, 9))
+        ]
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(g, "<u4").tolist() for g in packing._encoded(WORDS, texts)] == want
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(2)
     sizes = [rng.randint(1, 100) for _ in range(300)]

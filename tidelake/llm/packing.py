@@ -10,7 +10,6 @@ of the others are dealt anew to fewer shards, until one shard is left.
 
 from __future__ import annotations
 
-import gc
 import os
 import random
 import zlib
@@ -34,82 +33,139 @@ END_ID = 1
 SHARD_ITEMS, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 4, 12
 #: A bin filled to this share is final.
 WELL_FILLED = 0.995
-#: Words that a worker remembers at most, words asked at a time, and bytes of text taken at a time.
-CACHED, ASKED, TAKEN = 450_000, 8192, 4 << 20
+#: Bytes of words and ids that a worker remembers and bytes of text taken at a time, about.
+REMEMBERED, TAKEN = 24 << 20, 8 << 20
+#: Texts given to the tokenizer at a time, words that share one, and what stands between these.
+ASKED, SHARED, BETWEEN = 1024, 16, "0"
+#: Closing marks.
+MARKS = ".,;:!?"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 # ---------------------------------------------------------------- tokens
 
 
-class _Words(dict):
+class _Words:
     """Token ids, as little-endian 32-bit bytes, of each part of a text between spaces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self[""] = b""
-        #: Whether a letter is still one, or ends in one, when it is normalised.
+        (self.between,) = self._ids([BETWEEN])[0].tolist()
+        #: What is remembered: stems and marks, and the ids of each in the same place.
+        self.known = pa.array([], pa.string())
+        self.ids = pa.array([], pa.large_binary())
+        #: Whether marks behind a letter are tokens of their own.
         self.whole: dict[str, bool] = {}
 
-    def learn(self, words: set[str]) -> None:
-        """Encode what is not remembered yet, by the letters before a closing mark.
+    def of(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of each of ``words``: those of its stem, then those of the marks behind it.
+
+        Only what is not remembered is encoded. When there is no room left for that, what
+        ``words`` do not use is forgotten.
+        """
+        stems, marks = self._split(words)
+        parts = pa.concat_arrays([stems, marks]).dictionary_encode()
+        at = pc.index_in(parts.dictionary, value_set=self.known)
+        new = parts.dictionary.filter(pc.is_null(at))
+        at = pc.fill_null(at, -1).to_numpy().copy()
+        if len(new):
+            found = self._encode(new)
+            old = at >= 0
+            if sum(a.nbytes for a in (self.known, self.ids, new, found)) > REMEMBERED:
+                self.known, self.ids = self.known.take(at[old]), self.ids.take(at[old])
+                at[old] = np.arange(len(self.known))
+            at[~old] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids = pa.concat_arrays([self.ids, found])
+        place = at[parts.indices.to_numpy()]
+        n = len(words)
+        behind = np.flatnonzero(pc.not_equal(marks, "").to_numpy(zero_copy_only=False))
+        out = self.ids.take(place[:n])
+        if not len(behind):
+            return out
+        both = pc.binary_join_element_wise(
+            out.take(behind), self.ids.take(place[n:][behind]), pa.scalar(b"", pa.large_binary())
+        )
+        order = np.arange(n)
+        order[behind] = n + np.arange(len(behind))
+        return pa.concat_arrays([out, both]).take(order)
+
+    def _split(self, words: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
+        """The letters before closing marks and the marks, or whole words and nothing.
 
         Letters and the marks after them are tokens of their own if the letters still end
         in a letter once they are normalised (a few come apart into a letter and an accent,
         which is a mark like those behind it). Letters of a-z have the tokens of their
-        capitals, so these share one call of the tokenizer.
+        capitals, so these are remembered and encoded once.
         """
-        new = words - self.keys()
-        if len(self) + 2 * len(new) > CACHED:
-            self.clear()
-            self[""] = b""
-            new = words
-        stems = {word: self._stem(word) for word in new}
-        ask = list(set(stems.values()) - self.keys())
-        for at in range(0, len(ask), ASKED):
-            some = ask[at : at + ASKED]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            for stem, encoding in zip(some, found, strict=True):
-                self[stem] = array("I", encoding.ids).tobytes()
-        for word, stem in stems.items():
-            if word != stem:
-                left = word[len(stem) :]
-                if left and left not in self:
-                    ids = self.tokenizer.encode(left, add_special_tokens=False).ids
-                    self[left] = array("I", ids).tobytes()
-                self[word] = self[stem] + self[left]
-
-    def _stem(self, word: str) -> str:
-        stem = word.rstrip(".,;:!?")
-        if not stem.isalpha():
-            return word
-        if stem.isascii():
-            return stem.lower()
-        last = stem[-1]
-        if last not in self.whole:
-            self.whole[last] = self.tokenizer.normalizer.normalize_str(last)[-1].isalpha()
-        return stem if self.whole[last] else word
-
-
-def _encoded(path: str, texts: list[str]) -> list[bytes]:
+        stems = pc.ascii_rtrim(words, characters=MARKS)
+        last = pc.utf8_slice_codeunits(stems, -1)
+        ends = [c for c in last.unique().to_pylist() if self._is_whole(c)]
+        apart = pc.and_(pc.utf8_is_alpha(stems), pc.is_in(last, value_set=pa.array(ends, pa.string())))
+        stems = pc.if_else(pc.string_is_ascii(stems), pc.ascii_lower(stems), stems)
+        stems = pc.if_else(apart, stems, words)
+        sizes = pc.binary_length(stems).to_numpy()
+        cut_off = np.flatnonzero(sizes < pc.binary_length(words).to_numpy())
+        marks = np.full(len(words), "", object)
+        marks[cut_off] = [
+            w[len(w.rstrip(MARKS)) :] for w in words.take(pa.array(cut_off)).to_pylist()
+        ]
+        return stems, pa.array(marks, pa.string())
+
+    def _is_whole(self, letter: str) -> bool:
+        if letter not in self.whole:
+            apart, together = (self._ids(t)[0].tolist() for t in ([letter, "."], [letter + "."]))
+            self.whole[letter] = apart == together
+        return self.whole[letter]
+
+    def _encode(self, parts: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of each part. Parts share calls, as a call costs more than a part.
+
+        ``BETWEEN`` ends each of these: it is one token of its own and in none of them.
+        """
+        alone = pc.match_substring(parts, BETWEEN)
+        ask = parts.filter(pc.invert(alone)).to_pylist()
+        ids, _ = self._ids(
+            [f" {BETWEEN} ".join([*ask[i : i + SHARED], ""]) for i in range(0, len(ask), SHARED)]
+        )
+        ends = np.flatnonzero(ids == self.between) - np.arange(len(ask))
+        found = [_binary(ids[ids != self.between], ends)]
+        found.append(_binary(*self._ids(parts.filter(alone).to_pylist())))
+        order = np.argsort(alone.to_numpy(zero_copy_only=False), kind="stable")
+        return pa.concat_arrays(found).take(np.argsort(order))
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where those of each end."""
+        ids, ends = array("I"), []
+        for i in range(0, len(texts), ASKED):
+            some = texts[i : i + ASKED]
+            for encoding in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                ids.extend(encoding.ids)
+                ends.append(len(ids))
+        return np.array(ids, "<u4"), np.array(ends, np.int64)
+
+
+def _binary(ids: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    offsets = 4 * np.append(0, ends)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(ids)]
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), buffers)
+
+
+def _encoded(path: str, texts: pa.StringArray | list[str]) -> list[bytes]:
     """Ids of each text: the tokenizer drops white space and never merges across it."""
-    words = kept("packing", path, _Words)
-    out = []
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= TAKEN or i == len(texts) - 1:
-            gc.disable()  # millions of small objects and no cycles
-            parts = [t.replace("\n", " ").split(" ") for t in texts[begin : i + 1]]
-            words.learn(set().union(*parts))
-            out += [b"".join(map(words.__getitem__, p)) for p in parts]
-            gc.enable()
-            begin, size = i + 1, 0
-    return out
+    texts = pc.fill_null(pa.array(texts, pa.string()), "")
+    parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    words = parts.flatten().dictionary_encode()
+    each = kept("packing", path, _Words).of(words.dictionary).take(words.indices)
+    _, ends, data = each.buffers()
+    if data is None:
+        return [b""] * len(texts)
+    ends = np.frombuffer(ends, np.int64, len(each) + 1, 8 * each.offset)
+    edges = ends[parts.offsets.to_numpy()].tolist()
+    return [data[a:b].to_pybytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _taken(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -135,11 +191,9 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _taken(whole)):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = _encoded(path, batch.column("text"))
             rows = []
-            for doc, data in zip(
-                batch.column("doc_id").to_pylist(), _encoded(path, texts), strict=True
-            ):
+            for doc, data in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 data += end
                 for n, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]
